@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.llm import docpairs, leakage, mixing, truncation
+from knotwork.llm import docpairs, leakage, mixing, notwritten, truncation, unparsable
 from knotwork.session import table
 
 
@@ -14,6 +14,26 @@ def p2_file_pairs(spark, sf):
     return docpairs.file_pairs(table(spark, sf, "files").select("file_id", "path", "content"))
 
 
+def _files(spark, sf):
+    return table(spark, sf, "files").select("file_id", "repo", "path", "language", "content")
+
+
+def p3_found(spark, sf):
+    return unparsable.unparsable(_files(spark, sf))
+
+
+def p3_rates(spark, sf):
+    return unparsable.unparsable_rates(_files(spark, sf))
+
+
+def p6_found(spark, sf):
+    return notwritten.not_written(_files(spark, sf), table(spark, sf, "packages"))
+
+
+def p6_validation(spark, sf):
+    return notwritten.validation(_files(spark, sf), table(spark, sf, "packages"))
+
+
 def p8_found(spark, sf):
     return leakage.leaks(table(spark, sf, "eval_items").select("item_id", "text"), table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -43,6 +63,6 @@ def p10_limits(spark, sf):
     return truncation.limits(table(spark, sf, "documents").select("source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
 
 SQL: dict[str, str] = {}
