@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.llm import docpairs, leakage, mixing, notwritten, truncation, unparsable
+from knotwork.llm import docpairs, leakage, mixing, neighbours, notwritten, truncation, unparsable
 from knotwork.session import table
 
 
@@ -26,6 +26,14 @@ def p3_rates(spark, sf):
     return unparsable.unparsable_rates(_files(spark, sf))
 
 
+def p4_found(spark, sf):
+    return neighbours.mutual(table(spark, sf, "node_embeddings"))
+
+
+def p4_similar(spark, sf):
+    return neighbours.similar(table(spark, sf, "node_embeddings"))
+
+
 def p6_found(spark, sf):
     return notwritten.not_written(_files(spark, sf), table(spark, sf, "packages"))
 
@@ -63,6 +71,6 @@ def p10_limits(spark, sf):
     return truncation.limits(table(spark, sf, "documents").select("source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p4_found, p4_similar, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
 
 SQL: dict[str, str] = {}
