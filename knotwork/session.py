@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,19 @@ def size_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast where the estimate is below the limit; beyond it the plain shuffle join runs."""
     return F.broadcast(df) if size_bytes(df) <= limit else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        out = f"{tempfile.mkdtemp(prefix='spark-')}/knotwork.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(out)
+        _shipped.add(context.applicationId)
