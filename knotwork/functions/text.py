@@ -73,15 +73,20 @@ def query_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(each, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def truncate(text: Column, n: int) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
+    return _let(text, lambda t: F.when(F.length(t) > n, F.concat(F.substring(t, 1, n - 1), F.lit("…"))).otherwise(t))
 
 
 def first_sentence(text: Column, n: int = 200) -> Column:
     paragraph = F.element_at(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), "\n\n"), 1)
     flat = F.trim(F.regexp_replace(paragraph, r"\s+", " "))
-    sentence = F.when(flat.rlike(r"[.!?] "), F.regexp_extract(flat, r"^(.*?[.!?]) ", 1)).otherwise(flat)
-    return F.when(F.length(sentence) > n, F.concat(F.rtrim(F.substring(sentence, 1, n - 1)), F.lit("…"))).otherwise(sentence)
+    sentence = _let(flat, lambda p: F.when(p.rlike(r"[.!?] "), F.regexp_extract(p, r"^(.*?[.!?]) ", 1)).otherwise(p))
+    return _let(sentence, lambda t: F.when(F.length(t) > n, F.concat(F.rtrim(F.substring(t, 1, n - 1)), F.lit("…"))).otherwise(t))
 
 
 def estimate_tokens(text: Column) -> Column:
