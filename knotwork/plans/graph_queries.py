@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as X
-from knotwork.operators import graph, link, notes, pack, parse, search, summaries
+from knotwork.operators import graph, link, notes, pack, parse, retrieve, search, summaries
 from knotwork.plans import graph_sql
-from knotwork.session import materialize, table
+from knotwork.session import materialize, shared_dir, table
 from knotwork.sources.repos import IGNORE, manifest_diff
+from knotwork.sources.snapshots import SnapshotStore
+from knotwork.streaming.logs import fold_stream, latest_states
 
 #: The questions that the searches ask.
 QUESTIONS = [("q1", "where is the snapshot cache flushed when the parser fails"), ("q2", "merge ledger tokens"), ("q3", "RankerJournal publish worker"), ("q4", "why does the scheduler retry a stale lease")]
@@ -312,10 +317,51 @@ def linked_edges(spark, sf):
     return link.link(parse.nodes_of(parsed), parse.refs_of(parsed))
 
 
+def _answer(spark, sf):
+    n = _nodes(spark, sf).withColumn("file_path", F.concat_ws("/", "repo", "file_path"))
+    keys = n.select("id", "key")
+    parents = keys.select(F.col("id").alias("parent_id"), F.col("key").alias("parent_key"))
+    e = _edges(spark, sf).join(keys.select(F.col("id").alias("source"), F.col("key").alias("source_key")), "source").join(keys.select(F.col("id").alias("target"), F.col("key").alias("target_key")), "target")
+    e = materialize(e.select("source_key", "target_key", "relation", "confidence"))
+    n = materialize(n.join(parents, "parent_id", "left"))
+    n = materialize(n.join(summaries.summaries(n, e), "key"))
+    log = table(spark, sf, "memories").filter("uid is not null and uid != ''").select(F.col("log_pos").alias("pos"), "uid", "topic", "content", "files", "symbols", "anchors", "deleted")
+    kept = materialize(notes.fold(log).filter("content is not null"))
+    about = materialize(notes.about(kept, _nodes(spark, sf).select("key", "type", "name", "qualname", "file_path")))
+    index = search.TextIndex(summaries.index_documents(n), "key", search.NODE_FIELDS, stem=True)
+    note_index = search.TextIndex(kept, "uid", search.NOTE_FIELDS, stem=True)
+    return n, e, kept, retrieve.retrieve(_questions(spark), n, e, index, kept, note_index, about)
+
+
+def retrieval(spark, sf):
+    """The questions answered over the whole graph: text, expansion, notes, score."""
+    return _answer(spark, sf)[3].ranked
+
+
+def briefings(spark, sf):
+    """The answers packed into 3000 tokens each."""
+    n, e, kept, answer = _answer(spark, sf)
+    stale = notes.stale(kept, n.select("key", "content_hash"))
+    said = answer.notes.join(kept.join(stale, "uid"), "uid").select("query_id", "score", X.format_memory(F.col("uid"), F.col("topic"), F.col("content"), F.col("stale")).alias("note"))
+    files = table(spark, sf, "files").filter("content is not null").groupBy(F.concat_ws("/", "repo", "path").alias("path")).agg(F.min("content").alias("content"))
+    return pack.briefs(_questions(spark), answer.ranked, said, n, e, files, answer.mode, 3000)
+
+
+def stream_note_log(spark, sf):
+    """The last state of every note, folded from a file stream of the log."""
+    path = f"{sf}/memories.parquet"
+    source = table(spark, sf, "memories")
+    stream = spark.readStream.schema(source.schema).parquet(path if os.path.isdir(path) else f"{path}*").select("log_pos", "uid", "topic", "deleted").filter("uid is not null and uid != ''")
+    base = f"{shared_dir(spark).removeprefix('file://')}/stream-{uuid.uuid4().hex}"
+    store = SnapshotStore(spark, f"{base}/tables")
+    fold_stream(stream, store, "notes", latest_states("uid", "log_pos"), f"{base}/checkpoint").awaitTermination()
+    return store.read("notes", "log_pos long, uid string, topic string, deleted boolean").filter("not coalesce(deleted, false)").select("uid", "log_pos", "topic")
+
+
 _ALL = (
     file_manifest, manifest_changes, path_flags, identifiers, question_terms, sentences, labels, embedding_texts, find_by_suffix, edges_tidy, adjacency, label_groups, contains_parents, unique_names, pick_candidates, path_suffixes,
     derived_tests, tests_by_name, counts, neighbour_names, module_centrality, pagerank, expand_two_hops, expand_best_first, bm25_documents, bm25_nodes, bm25_nodes_stemmed, cosine_top, cosine_spread, fused_search, hybrid_ranking,
-    note_log, note_stale, note_targets, node_summaries, pack_prefix, pack_first_fit, repo_maps, parsed_nodes, parsed_references, linked_edges,
+    note_log, stream_note_log, retrieval, briefings, note_stale, note_targets, node_summaries, pack_prefix, pack_first_fit, repo_maps, parsed_nodes, parsed_references, linked_edges,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = graph_sql.statements(QUESTIONS)

@@ -154,6 +154,7 @@ folded AS (SELECT l.*, p.place FROM place p JOIN log l ON l.uid = p.uid AND l.lo
  * CASE WHEN coalesce(type, '') IN ('test', 'documentation') THEN 1.0 WHEN {_TEST.format('file_path')} THEN 0.7 WHEN regexp_matches(coalesce(file_path, ''), '{SIDE_PATH}') THEN 0.8 ELSE 1.0 END AS score FROM t JOIN n ON n.id = t.doc)
  SELECT query_id, id, round(score, 6) AS score FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {RANKED}""",
         "note_log": f"WITH {fold} SELECT uid, log_pos AS pos, place, topic FROM folded",
+        "stream_note_log": f"WITH {fold} SELECT uid, log_pos, topic FROM folded",
         "note_stale": f"""WITH {N}, {fold}, h AS (SELECT key, max(content_hash) AS now FROM n GROUP BY key), x AS (SELECT uid, unnest(map_entries(anchors)) AS a FROM folded), bad AS (SELECT uid, bool_or(now IS NULL OR now IS DISTINCT FROM a.value) AS stale FROM x LEFT JOIN h ON h.key = a.key GROUP BY uid)
  SELECT f.uid, coalesce(bad.stale, false) AS stale FROM folded f LEFT JOIN bad ON bad.uid = f.uid""",
         "pack_prefix": f"WITH {costs} SELECT repo, doc_id, CAST(sum(cost) OVER w AS BIGINT) AS used FROM c WINDOW w AS (PARTITION BY repo ORDER BY rank) QUALIFY sum(cost) OVER w <= 3000",
