@@ -237,7 +237,7 @@ def test_truncated(spark):
     r = random.Random(6)
     rows = []
     for i in range(400):
-        text = " ".join([sentence] * r.randrange(1, 9)) + f" Number {i} ends."
+        text = f"Case {i + 100} opens. " + " ".join([sentence] * r.randrange(1, 9)) + f" Number {r.randrange(10**r.randrange(1, 9))} ends."
         rows.append((i, text[:200] if i % 4 == 0 else text, "a"))
     cut = {i for i, t, _ in rows if not t.endswith(".")}
     rows += [(1000, "Fold the second led", "b"), (1001, "Fold the second ledger", "b"), (1002, None, "b"), (1003, "  ", "b"), (None, "It sto", "b"), (1004, sentence * 2000, None)]
