@@ -99,13 +99,12 @@ def _lists(ids: np.ndarray, sims: np.ndarray, names: np.ndarray, keep: int) -> p
 
 
 def _similar(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
-    x = a.astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    if b is None:
-        return np.round(x @ x.T, 6)
-    y = b.astype(np.float32)
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    return x @ y.T
+    """Cosines of rounded vectors. The products of bytes add up exactly, so a pair has one value wherever it is met."""
+    kind = np.float32 if a.shape[1] <= 1000 else np.float64
+    x = a.astype(kind)
+    y = x if b is None else b.astype(kind)
+    norms = [np.sqrt((z.astype(np.float64) ** 2).sum(axis=1)) for z in (x, y)]
+    return (x @ y.T).astype(np.float64) / (norms[0][:, None] * norms[1][None, :])
 
 
 def _compare_blocks(keep: int, block: int):
@@ -205,13 +204,24 @@ def classes(embeddings: DataFrame) -> DataFrame:
     return each.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("node_key")))
 
 
+def _keyed(vectors: DataFrame, trees: int, bits: int) -> DataFrame:
+    return materialize(vectors.select("id", "model", "vector").mapInArrow(_keys(trees, bits), "id long, model string, bytes binary, tree int, code long, place double"))
+
+
+def _ordered(keyed: DataFrame, n: int, trees: int, block: int) -> DataFrame:
+    parts = max(keyed.sparkSession.sparkContext.defaultParallelism, n * trees // (32 * block))
+    return keyed.repartitionByRange(parts, "tree", "model", "code", "place").sortWithinPartitions("tree", "model", "code", "place")
+
+
+def _bits(n: int, block: int) -> int:
+    return int(max(0, min(40, np.ceil(np.log2(max(n, 1) / block)))))
+
+
 def graph(reps: DataFrame, keep: int = KEEP, trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """id, far (negative cosines of rounded vectors), nbr: lists of about the keep nearest. reps: id, model, vector."""
     n = reps.count()
-    bits = int(max(0, min(40, np.ceil(np.log2(max(n, 1) / block)))))
-    keyed = materialize(reps.select("id", "model", "vector").mapInArrow(_keys(trees, bits), "id long, model string, bytes binary, tree int, code long, place double"))
-    parts = max(reps.sparkSession.sparkContext.defaultParallelism, n * trees // (32 * block))
-    ordered = keyed.repartitionByRange(parts, "tree", "model", "code", "place").sortWithinPartitions("tree", "model", "code", "place")
+    keyed = _keyed(reps, trees, _bits(n, block))
+    ordered = _ordered(keyed, n, trees, block)
     near = materialize(_merge(ordered.mapInArrow(_compare_blocks(keep, block), _LISTS), keep))
     small = keyed.filter("tree = 0").select("id", "bytes")
     for _ in range(rounds if n > 2 * block else 0):
@@ -229,6 +239,82 @@ def graph(reps: DataFrame, keep: int = KEEP, trees: int = TREES, block: int = BL
     return near
 
 
+def _enter_blocks(keep: int, block: int):
+    """Sorted rows in blocks of the same tree and model: the queries (asked) among them get the nearest others."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        group = None
+
+        def flush(rows: list[tuple]):
+            asked = np.array([r[2] for r in rows])
+            if asked.any() and not asked.all():
+                ids = np.array([r[0] for r in rows], np.int64)
+                v = np.frombuffer(b"".join(r[1] for r in rows), np.int8).reshape(len(rows), -1)
+                yield _lists(ids[asked], _similar(v[asked], v[~asked]), ids[~asked], keep)
+
+        for b in batches:
+            for i, v, t, m, a in zip(b.column("id").to_pylist(), b.column("bytes").to_pylist(), b.column("tree").to_pylist(), b.column("model").to_pylist(), b.column("asked").to_pylist(), strict=True):
+                if (t, m) != group:
+                    yield from flush(held)
+                    held, group = [], (t, m)
+                held.append((i, v, a))
+                if len(held) >= 2 * block:
+                    yield from flush(held[:block])
+                    held = held[block:]
+        yield from flush(held)
+
+    return work
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, y = b.column("asked").to_pylist(), b.column("bytes").to_pylist()
+        far = np.zeros(len(x), np.float32)
+        lengths = np.array([len(v) if len(v) == len(w) else -1 for v, w in zip(x, y, strict=True)])
+        for n in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == n)
+            p, q = (np.frombuffer(b"".join(z[i] for i in at), np.int8).reshape(len(at), -1).astype(np.float64) for z in (x, y))
+            far[at] = -(p * q).sum(axis=1) / (np.sqrt((p**2).sum(axis=1)) * np.sqrt((q**2).sum(axis=1)))
+        yield pa.RecordBatch.from_arrays([b.column("query"), b.column("id"), pa.array(far)], names=["query", "id", "far"])
+
+
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, beam: int = 64, rounds: int = 8, trees: int = TREES, block: int = BLOCK) -> DataFrame:
+    """query_id, node_key, cosine, rank: the k most similar nodes of the same model for every query vector.
+
+    queries: query_id, model, vector. Greedy graph search: a query enters where the forests put it, then the best beam
+    nodes it has met open their neighbours, round by round, until a round brings nothing better."""
+    each = materialize(classes(embeddings))
+    reps = each.filter("place = 1").select("id", "model", "vector")
+    n, near = reps.count(), graph(reps, trees=trees, block=block)
+    # a node is also reached from those whose list it is in: of these, the nearest ones join its own list
+    links = near.select("id", F.explode(F.arrays_zip("far", "nbr")).alias("z")).select("id", "z.far", F.col("z.nbr").alias("other"))
+    back = links.withColumn("n", F.row_number().over(Window.partitionBy("other").orderBy("far", "id"))).filter(F.col("n") <= 2 * KEEP).select(F.col("other").alias("id"), F.col("id").alias("other"))
+    links = materialize(links.select("id", "other").unionByName(back).distinct())
+    asked = queries.filter("query_id is not null and model is not null and vector is not null").filter(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)).dropDuplicates(["query_id"]).withColumn("id", F.xxhash64("query_id", F.lit("query")))
+    asked = materialize(asked.select("query_id", "id", "model", "vector"))
+    own, theirs = _keyed(asked, trees, _bits(n, block)), _keyed(reps, trees, _bits(n, block))
+    both = own.withColumn("asked", F.lit(True)).unionByName(theirs.withColumn("asked", F.lit(False)))
+    start = _merge(_ordered(both, n, trees, block).mapInArrow(_enter_blocks(beam, block), _LISTS), beam)
+    small = theirs.filter("tree = 0").select("id", "bytes")
+    wanted = own.filter("tree = 0").select(F.col("id").alias("query"), F.col("bytes").alias("asked"))
+    best = materialize(start.select(F.col("id").alias("query"), F.explode(F.arrays_zip("nbr", "far")).alias("z")).select("query", F.col("z.nbr").alias("id"), "z.far", F.lit(False).alias("opened")))
+    order = Window.partitionBy("query").orderBy("far", "id")
+    for _ in range(rounds):
+        seen = best.filter("not opened").join(links, "id").select("query", F.col("other").alias("id")).distinct()
+        new = seen.join(best.select("query", "id"), ["query", "id"], "left_anti").join(small, "id").join(wanted, "query").mapInArrow(_score, "query long, id long, far float").withColumn("opened", F.lit(False))
+        every = best.withColumn("opened", F.lit(True)).unionByName(new).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= beam).drop("n")
+        best = materialize(every)
+        if best.filter("not opened").isEmpty():
+            break
+    vectors = reps.select(F.col("id").alias("other"), F.col("vector").alias("other_vector"))
+    exact = best.select(F.col("query").alias("id"), F.col("id").alias("other")).join(asked.select("id", "vector"), "id").join(vectors, "other").mapInArrow(_exact, "id long, other long, cosine double")
+    members = each.filter(F.col("place") <= k).select(F.col("id").alias("other"), "node_key")
+    shown = exact.join(members, "other").join(asked.select("id", "query_id"), "id")
+    ranked = shown.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "node_key")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "node_key", "cosine", "rank")
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         a, c = b.column("vector"), b.column("other_vector")

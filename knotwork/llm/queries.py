@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from knotwork.llm import docpairs, leakage, mixing, neighbours, notwritten, truncation, unparsable
 from knotwork.session import table
 
@@ -34,6 +36,14 @@ def p4_similar(spark, sf):
     return neighbours.similar(table(spark, sf, "node_embeddings"))
 
 
+def p4_search(spark, sf):
+    """The vectors of nodes whose id is divisible by 50 as queries against all; a node finds itself first."""
+    e = table(spark, sf, "node_embeddings")
+    some = table(spark, sf, "nodes").filter("id % 50 = 0").select("node_key").distinct()
+    asked = neighbours.usable(e).join(some, "node_key", "left_semi").select(F.col("node_key").alias("query_id"), "model", "vector")
+    return neighbours.search(e, asked)
+
+
 def p6_found(spark, sf):
     return notwritten.not_written(_files(spark, sf), table(spark, sf, "packages"))
 
@@ -71,6 +81,6 @@ def p10_limits(spark, sf):
     return truncation.limits(table(spark, sf, "documents").select("source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p4_found, p4_similar, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p4_found, p4_similar, p4_search, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
 
 SQL: dict[str, str] = {}

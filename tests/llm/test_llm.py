@@ -121,6 +121,21 @@ def test_similar_recall(spark):
     assert sum(len(got[k] & want[k]) for k in keys) / (5 * len(keys)) >= 0.9
 
 
+def test_search_recall(spark):
+    x = _clusters(1200, 16, 3).astype(np.float32)
+    keys = [f"k{i:05d}" for i in range(len(x))]
+    rows = [("m", k, "h", 16, v.tolist()) for k, v in zip(keys, x, strict=True)]
+    df = spark.createDataFrame(rows[100:], EMB)
+    asked = spark.createDataFrame([(k, m, v) for m, k, _, _, v in rows[:100]] + [("zero", "m", [0.0] * 16), ("other", "o", [1.0] * 16)], "query_id string, model string, vector array<float>")
+    got = {}
+    for r in neighbours.search(df, asked, block=64).collect():
+        got.setdefault(r.query_id, set()).add(r.node_key)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {keys[i]: {keys[100 + j] for j in np.argsort(-(u[100:] @ u[i]))[:5]} for i in range(100)}
+    assert got.keys() == want.keys() and sum(len(got[k] & want[k]) for k in want) / 500 >= 0.9
+    assert neighbours.search(df, asked.limit(0)).count() == 0
+
+
 def test_similar_cases(spark):
     bad = [("m", "n1", "h", 2, None), ("m", "n2", "h", 2, [0.0, 0.0]), ("m", "n3", "h", 2, [float("nan"), 1.0]), ("m", "n4", "h", 3, [1.0, 1.0]), (None, "n5", "h", 2, [1.0, 1.0]), ("m", None, "h", 2, [1.0, 1.0]), ("m", "n6", "h", 2, [None, 1.0]), ("m", "n7", "h", None, [1.0, 1.0])]
     copies = [("m", f"c{i:02d}", "h", 2, [1.0, 1.0]) for i in range(12)]
