@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.session import materialize
+from knotwork.session import broadcast_if_small, materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: About as many documents share a bin of the rank histogram.
@@ -59,7 +59,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """
     goal = targets.filter("source is not null").groupBy("source").agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("most"))
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    listed = documents.select("doc_id", "source", "text", w.alias("w")).join(F.broadcast(goal.select("source")), "source", "left_semi")
+    listed = documents.select("doc_id", "source", "text", w.alias("w")).join(broadcast_if_small(goal.select("source")), "source", "left_semi")
     docs = materialize(token_counts(listed, ["doc_id", "source", "w"], tokenizer))
 
     # one row per source from here on: as many as the targets list
