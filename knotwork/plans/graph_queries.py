@@ -293,8 +293,8 @@ def pack_prefix(spark, sf):
 
 
 def pack_first_fit(spark, sf):
-    top = materialize(_costs(spark, sf).filter(F.col("rank") <= search.RANKED))
-    return pack.pack_first_fit(top, 3000, group="repo").join(top, ["repo", "rank"]).select("repo", "doc_id", "used")
+    costs = materialize(_costs(spark, sf))
+    return pack.pack_first_fit(costs, 3000, group="repo").join(costs, ["repo", "rank"]).select("repo", "doc_id", "used")
 
 
 def repo_maps(spark, sf):
