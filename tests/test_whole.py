@@ -29,3 +29,20 @@ def test_first_fit_in_any_order(spark):
     r.shuffle(rows)
     got = {(x.query_id, x.rank, x.used) for x in pack.pack_first_fit(spark.createDataFrame(rows, "query_id string, rank int, cost int"), 300).collect()}
     assert got == {(g, *x) for g, costs in groups.items() for x in first_fit(enumerate(costs), 300)}
+
+
+def test_map_ranks_every_module(spark):
+    n = 1300
+    nodes = [(f"m{i}", "module", f"m{i}", f"a/m{i:04}.py", 1, None, "Text." if i % 13 else None, True, (i * 7 % 50) / 10) for i in range(n)]
+    schema = "key string, type string, name string, file_path string, start_line int, signature string, docstring string, is_public boolean, importance double"
+    edges = spark.createDataFrame([], "source_key string, target_key string, relation string")
+    got = pack.repo_map(spark.createDataFrame(nodes, schema).repartition(5), edges).collect()
+    want = sorted((-x[8], x[3]) for x in nodes if x[6])
+    assert [(x.rank, x.file_path) for x in sorted(got)] == [(k, path) for k, (_, path) in enumerate(want, 1)]
+
+
+def test_numbered(spark):
+    rows = spark.range(5000).selectExpr("id", "id % 3 AS k").repartition(7)
+    got = pack.numbered(rows, "k", "id", name="n").collect()
+    assert sorted((x.n, x.k, x.id) for x in got) == [(i, k, v) for i, (k, v) in enumerate(sorted((v % 3, v) for v in range(5000)), 1)]
+    assert pack.numbered(rows.filter("id < 0"), "k", "id").count() == 0
