@@ -8,7 +8,8 @@ with doubling steps.
 
 Cases: a null id is dropped; a null or unknown parent makes a root; several rows of one id count as one whose parent is
 the smallest given; a node that is its own parent is a circle; an empty table gives an empty result; extra columns are
-ignored. Nodes on a circle or below one get depth -1 and the smallest id on the circle as their root.
+ignored. Nodes on a circle or below one get depth -1 and the smallest id on the circle as their root. A node below a
+circle has the descendants of its subtree; a node on a circle has all others on the circle and below it.
 """
 
 from __future__ import annotations
@@ -167,16 +168,29 @@ def roots(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", g
     return chains.select("id", F.col("end").alias("root_id"), F.when(F.col("kind") == CIRCLE, F.lit(-1)).otherwise(F.col("steps")).cast("long").alias("depth"))
 
 
-def descendants(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
-    """ancestor_id, id, distance for every proper descendant in the trees (nodes on and below circles have no finite
-    path and are left out). Built by doubling the parent index: each round joins the longest hops with all shorter ones,
-    so a tree of depth d takes log2(d) joins and every pair is made once."""
-    depth = roots(nodes, id_col, parent_col).filter("depth >= 0").select("id", "depth")
-    links = parent_links(nodes, id_col, parent_col).filter(F.col("nxt") != NONE)
-    base = materialize(links.join(depth, "id").filter("depth > 0").select("id", F.col("nxt").alias("ancestor_id"), F.lit(1).cast("long").alias("distance")))
-    deepest = depth.agg(F.max("depth")).first()[0] or 0
-    pairs, full = base, 1
-    while full < deepest:
+def on_circles(found: DataFrame, links: DataFrame) -> DataFrame:
+    """id, circle_id, nxt (its parent) of every node on a circle itself. found as from roots, links as from parent_links.
+
+    The nodes reached by n steps from all nodes on and below circles are fewer with every doubling of n until only the
+    circles are left, on which steps only permute."""
+    lost = found.filter("depth < 0").select("id", F.col("root_id").alias("circle_id"))
+    lost = materialize(lost.join(links.select("id", "nxt"), "id"))
+    hops, left = materialize(lost.select("id", F.col("nxt").alias("to"))), lost.count()
+    while True:
+        reached = materialize(hops.select(F.col("to").alias("id")).distinct())
+        n = reached.count()
+        if n == left:
+            return lost.join(reached, "id")
+        left = n
+        further = hops.select(F.col("id").alias("to"), F.col("to").alias("to2"))
+        hops = materialize(hops.join(reached, "id", "left_semi").join(further, "to").select("id", F.col("to2").alias("to")))
+
+
+def _closure(links: DataFrame) -> DataFrame:
+    """ancestor_id, id, distance over links without circles, by doubling the parent index: each round joins the longest
+    hops with all shorter ones, so a tree of depth d takes log2(d) joins and every pair is made once."""
+    pairs, full = materialize(links.filter(F.col("nxt") != NONE).select("id", F.col("nxt").alias("ancestor_id"), F.lit(1).cast("long").alias("distance"))), 1
+    while not pairs.filter(F.col("distance") == full).isEmpty():
         upper = pairs.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("top"), F.col("distance").alias("more"))
         longer = pairs.filter(F.col("distance") == full).join(upper, "ancestor_id").select("id", F.col("top").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
         pairs = materialize(pairs.unionByName(longer))
@@ -184,17 +198,42 @@ def descendants(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_
     return pairs.select("ancestor_id", "id", "distance")
 
 
+def _parts(nodes: DataFrame, id_col: str, parent_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """roots, on_circles, and the closure over all links but those of nodes on circles, whose subtrees have none."""
+    links = materialize(parent_links(nodes, id_col, parent_col))
+    found = materialize(roots(nodes, id_col, parent_col))
+    ring = materialize(on_circles(found, links))
+    return found, ring, _closure(links.join(ring.select("id"), "id", "left_anti"))
+
+
+def descendants(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """ancestor_id, id, distance for every proper descendant, each pair once with its fewest steps. Below circles these are
+    the subtrees; of a node on a circle all others on it and below it descend, by way of the circle."""
+    _, ring, tree = _parts(nodes, id_col, parent_col)
+    # places on a circle are the steps to its smallest id
+    cut = materialize(ring.select("id", F.when(F.col("id") == F.col("circle_id"), F.lit(NONE)).otherwise(F.col("nxt")).alias("nxt"), F.lit(1).cast("long").alias("steps"), F.col("id").alias("least")))
+    place = materialize(resolve(cut).select("id", F.col("end").alias("circle_id"), F.col("steps").alias("place")))
+    size = place.groupBy("circle_id").agg(F.count(F.lit(1)).alias("size"))
+    other = place.select(F.col("id").alias("ancestor_id"), "circle_id", F.col("place").alias("goal"))
+    around = place.join(size, "circle_id").join(other, "circle_id").filter("id != ancestor_id").select("ancestor_id", "id", F.expr("pmod(place - goal, size)").alias("distance"))
+    # what hangs below a node of the circle comes by tree for that node itself, and so many steps later for the others
+    hanging = around.select("ancestor_id", F.col("id").alias("entry"), F.col("distance").alias("more")).join(tree.withColumnRenamed("ancestor_id", "entry"), "entry")
+    return tree.unionByName(around).unionByName(hanging.select("ancestor_id", "id", (F.col("distance") + F.col("more")).alias("distance")))
+
+
 def paths(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str = "name") -> DataFrame:
     """id, root_id, depth, path (ids from the root down), path_names (joined by ' > ', null names as '?'), n_descendants.
-    On and below circles path and path_names are null."""
-    found = roots(nodes, id_col, parent_col)
+    On and below circles path and path_names are null; n_descendants counts what descendants gives, everywhere."""
+    found, ring, closure = _parts(nodes, id_col, parent_col)
     names = nodes.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.coalesce(F.min(name_col), F.lit("?")).alias("label"))
-    closure = materialize(descendants(nodes, id_col, parent_col))
-    steps = closure.unionByName(found.filter("depth >= 0").select(F.col("id").alias("ancestor_id"), "id", F.lit(0).cast("long").alias("distance")))
+    tree = found.filter("depth >= 0").select("id")
+    steps = closure.join(tree, "id", "left_semi").unionByName(tree.select(F.col("id").alias("ancestor_id"), "id", F.lit(0).cast("long").alias("distance")))
     named = steps.join(names.select(F.col("id").alias("ancestor_id"), "label"), "ancestor_id")
     # a list is as long as the node is deep
     lines = named.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("k"), "ancestor_id", "label"))).alias("x"))
-    below = closure.groupBy(F.col("ancestor_id").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    below = closure.join(ring.select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_anti").groupBy(F.col("ancestor_id").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    others = found.filter("depth < 0").groupBy(F.col("root_id").alias("circle_id")).agg((F.count(F.lit(1)) - 1).alias("n_descendants"))
+    below = below.unionByName(ring.join(others, "circle_id").select("id", "n_descendants"))
     return found.join(lines, "id", "left").join(below, "id", "left").select("id", "root_id", "depth", F.col("x.ancestor_id").alias("path"), F.array_join("x.label", " > ").alias("path_names"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from knotwork.operators import pack
+from knotwork.operators import hierarchy, pack
 from knotwork.plans import graph_queries
 
 
@@ -46,3 +46,21 @@ def test_numbered(spark):
     got = pack.numbered(rows, "k", "id", name="n").collect()
     assert sorted((x.n, x.k, x.id) for x in got) == [(i, k, v) for i, (k, v) in enumerate(sorted((v % 3, v) for v in range(5000)), 1)]
     assert pack.numbered(rows.filter("id < 0"), "k", "id").count() == 0
+
+
+def test_descendants_on_and_below_circles(spark):
+    r = random.Random(6)
+    # a circle of seven with trees, chains and branches below it, one of one, one of two, and ordinary trees
+    parents = {i: (i + 1) % 7 for i in range(7)} | {7: 7, 8: 9, 9: 8, 10: None} | {i: r.choice([r.randrange(i), i - 1]) for i in range(11, 90)}
+    want = {}
+    for start in parents:
+        at, steps, seen = parents[start], 1, {start}
+        while at is not None and at not in seen:
+            want[at, start] = steps
+            seen.add(at)
+            at, steps = parents[at], steps + 1
+    df = spark.createDataFrame([(k, p, "x") for k, p in parents.items()], "id long, parent_id long, name string")
+    got = hierarchy.descendants(df).collect()
+    assert len(got) == len(want) and {(x.ancestor_id, x.id): x.distance for x in got} == want
+    counts = {x.id: x.n_descendants for x in hierarchy.paths(df).collect()}
+    assert counts == {k: sum(a == k for a, _ in want) for k in parents}
