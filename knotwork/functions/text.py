@@ -146,7 +146,7 @@ def format_memory(uid: Column, topic: Column, content: Column, stale: Column, no
 
 def embedding_text(kind: Column, name: Column, qualname: Column, path: Column, signature: Column, docstring: Column) -> Column:
     blank = lambda c: F.coalesce(c, F.lit(""))
-    code = F.concat_ws("\n", F.concat(kind, F.lit(" "), qualname), blank(path), blank(signature), F.substring(blank(docstring), 1, 500))
+    code = F.concat_ws("\n", F.concat(kind, F.lit(" "), qualname), blank(path), blank(signature), blank(docstring))
     return (
         F.when(kind == "memory", F.concat(F.lit("memory "), name, F.lit("\n"), blank(docstring)))
         .when(kind == "documentation", F.concat_ws("\n", F.concat(F.lit("documentation "), name), blank(path), blank(docstring)))

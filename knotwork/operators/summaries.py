@@ -57,4 +57,4 @@ def summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def index_documents(nodes: DataFrame) -> DataFrame:
     """key, name, idents, file_path, summary, docstring: what the full-text index holds of every node but notes."""
     plain = nodes.filter(F.coalesce("type", F.lit("")) != "memory")
-    return plain.select("key", "name", X.identifier_tokens(F.col("name"), F.col("qualname")).alias("idents"), "file_path", "summary", F.substring(F.coalesce("docstring", F.lit("")), 1, 1000).alias("docstring"))
+    return plain.select("key", "name", X.identifier_tokens(F.col("name"), F.col("qualname")).alias("idents"), "file_path", "summary", F.coalesce("docstring", F.lit("")).alias("docstring"))

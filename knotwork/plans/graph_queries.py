@@ -213,7 +213,7 @@ def bm25_documents(spark, sf):
 
 def _fields(spark, sf):
     n = _nodes(spark, sf)
-    return n.select("id", "name", X.identifier_tokens(F.col("name"), F.col("qualname")).alias("idents"), "file_path", F.lit("").alias("summary"), F.substring(F.coalesce("docstring", F.lit("")), 1, 1000).alias("docstring"))
+    return n.select("id", "name", X.identifier_tokens(F.col("name"), F.col("qualname")).alias("idents"), "file_path", F.lit("").alias("summary"), F.coalesce("docstring", F.lit("")).alias("docstring"))
 
 
 def bm25_nodes(spark, sf):

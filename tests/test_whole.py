@@ -2,7 +2,10 @@
 
 import random
 
-from knotwork.operators import hierarchy, pack
+from pyspark.sql import functions as F
+
+from knotwork.functions import text as X
+from knotwork.operators import hierarchy, pack, summaries
 from knotwork.plans import graph_queries
 
 
@@ -64,3 +67,18 @@ def test_descendants_on_and_below_circles(spark):
     assert len(got) == len(want) and {(x.ancestor_id, x.id): x.distance for x in got} == want
     counts = {x.id: x.n_descendants for x in hierarchy.paths(df).collect()}
     assert counts == {k: sum(a == k for a, _ in want) for k in parents}
+
+
+def test_docstrings_are_taken_whole(spark, tmp_path):
+    long = "word " * 300 + "ledger"
+    node = (1, "k", "class", "A", "m.A", "r", "m.py", 1, 9, "class A", long, True, "h", None, 0.5)
+    schema = "id long, node_key string, type string, name string, qualname string, repo string, file_path string, start_line int, end_line int, signature string, docstring string, is_public boolean, content_hash string, parent_id long, importance double"
+    other = (2, "o", "class", "B", "m.B", "r", "m.py", 10, 19, "class B", "Nothing", True, "h", None, 0.5)
+    nodes = spark.createDataFrame([node, other], schema)
+    nodes.write.parquet(f"{tmp_path}/nodes.parquet")
+    for query in (graph_queries.bm25_nodes, graph_queries.bm25_nodes_stemmed):
+        assert [(x.query_id, x.id) for x in query(spark, str(tmp_path)).collect()] == [("q2", 1)]
+    indexed = summaries.index_documents(nodes.selectExpr("node_key AS key", "*", "'' AS summary").filter("id = 1"))
+    assert indexed.first().docstring == long
+    text = X.embedding_text(*(F.col(c) for c in ("type", "name", "qualname", "file_path", "signature", "docstring")))
+    assert nodes.filter("id = 1").select(text.alias("t")).first().t.endswith("ledger")
