@@ -2,7 +2,8 @@
 
 Method: generalised LL parsing with a graph-structured stack (gll.py), all dialects of a language run together in one
 parse; a file is flagged where no dialect accepts it. What the grammars leave open (rules that are not context-free, such
-as repeated TOML keys or what may be assigned to) is checked afterwards with the parsers of Python's standard library.
+as repeated TOML keys or what may be assigned to) is checked afterwards with the parsers of Python's standard library,
+which can only refuse what the grammars accept.
 
 Cases: null contents are not judged; empty files are invalid only as JSON; the extension decides, not the language
 column; Markdown and unknown extensions always parse; identical rows give one result; null ids are dropped; empty tables
@@ -59,9 +60,8 @@ def exact(extension: str, text: str) -> bool | None:
 
 
 def parses(extension: str, text: str) -> bool:
-    found = bool(dialects(extension, text))
-    checked = exact(extension, text)
-    return found if checked is None else checked
+    """Whether a dialect accepts the text and the exact check, where there is one, does not refuse it."""
+    return bool(dialects(extension, text)) and exact(extension, text) is not False
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
