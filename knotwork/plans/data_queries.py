@@ -46,7 +46,12 @@ def p7_state(spark, sf):
     return changes.latest_notes(table(spark, sf, "memories").select("log_pos", "change_id", "uid", "created_at", "deleted", "topic", "content", "repo"), ("topic", "content", "repo"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circles, p5_found, p5_counts, p7_found, p7_state)}
+def p7_nodes(spark, sf):
+    """Nodes as a table kept by a feed of removals, returns and partial updates on a base."""
+    return changes.current_nodes(table(spark, sf, "nodes").select("node_key", "content_hash", "indexed_at"), table(spark, sf, "removed_nodes").select("node_key", "removed_at"), table(spark, sf, "memories").select("log_pos", "created_at", "anchors"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circles, p5_found, p5_counts, p7_found, p7_state, p7_nodes)}
 
 _TREE = """
 WITH RECURSIVE one AS (SELECT id, min(parent_id) AS p FROM nodes WHERE id IS NOT NULL GROUP BY id),
@@ -104,5 +109,14 @@ SELECT e.id, e.root_id, e.depth, n.path_names, coalesce(b.n, 0) AS n_descendants
     "p5_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_row, ref_field, ref_value FROM lost",
     "p5_counts": _ORPHANS + "SELECT ref_table, ref_field, strftime(make_timestamp(moment), '%Y-%m') AS month, status, count(*) AS n_orphans FROM lost GROUP BY ALL",
     "p7_found": _ALIVE + "SELECT uid, log_pos FROM last WHERE deleted IS DISTINCT FROM true",
+    "p7_nodes": _NOTES
+    + """,
+gone AS (SELECT node_key, max(epoch_us(removed_at)) AS gone FROM removed_nodes WHERE node_key IS NOT NULL GROUP BY 1),
+back AS (SELECT n.node_key, epoch_us(n.indexed_at) AS put, n.content_hash FROM nodes n WHERE n.node_key IN (SELECT node_key FROM gone) QUALIFY row_number() OVER (PARTITION BY n.node_key ORDER BY indexed_at DESC, content_hash DESC) = 1),
+there AS (SELECT g.node_key, b.content_hash, b.put FROM gone g JOIN back b ON b.node_key = g.node_key AND b.put >= g.gone
+ UNION ALL SELECT node_key, min(content_hash), NULL FROM nodes WHERE node_key IS NOT NULL AND node_key NOT IN (SELECT node_key FROM gone) GROUP BY 1),
+anchor AS (SELECT log_pos, moment, unnest(map_entries(anchors)) AS a FROM read WHERE moment IS NOT NULL),
+noted AS (SELECT t.node_key, a.a.value AS hash FROM there t JOIN anchor a ON a.a.key = t.node_key AND (t.put IS NULL OR a.moment > t.put) QUALIFY row_number() OVER (PARTITION BY t.node_key ORDER BY a.moment DESC, a.log_pos DESC) = 1)
+SELECT t.node_key, t.content_hash, n.hash AS noted_hash FROM there t LEFT JOIN noted n ON n.node_key = t.node_key""",
     "p7_state": _ALIVE + "SELECT uid, log_pos, topic, content, repo FROM last WHERE deleted IS DISTINCT FROM true",
 }

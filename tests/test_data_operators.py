@@ -75,26 +75,42 @@ def test_changes(spark):
     assert changes.latest_notes(_feed(spark, [])).count() == 0
 
 
+def _replay(ops, base):
+    """The rows alive after the operations in order, one by one."""
+    state = {k: dict(v) for k, v in base.items()}
+    for k, _, kind, a, b, sets_a, sets_b in sorted(ops, key=lambda o: o[1]):
+        if kind == "put":
+            state[k] = {"a": a, "b": b}
+        elif kind == "remove":
+            state.pop(k, None)
+        elif k in state:
+            state[k].update({c: v for c, v, s in (("a", a, sets_a), ("b", b, sets_b)) if s})
+    return {(k, v["a"], v["b"]) for k, v in state.items()}
+
+
 def test_patches_compose_in_any_grouping(spark):
     r = random.Random(5)
-    ops, want = [], {}
-    for t in range(300):
-        k, kind = r.randrange(6), r.choice(["put", "a", "b", "del"])
-        a, b = (r.randrange(9) if kind in ("put", "a") else None), (r.randrange(9) if kind in ("put", "b") else None)
-        ops.append((k, t, kind, a, b))
-        state = want.setdefault(k, {"a": 1, "b": 2})
-        if kind == "del":
-            state.update(a=None, b=None)
-        else:
-            state.update({c: v for c, v in (("a", a), ("b", b)) if kind in ("put", c)})
-    r.shuffle(ops)
-    df = spark.createDataFrame(ops, "k long, t long, kind string, a long, b long").repartition(5)
-    base = spark.createDataFrame([(k, 1, 2) for k in range(8)], "k long, a long, b long")
-    touched = {c: F.col("kind").isin("put", c) for c in ("a", "b")}
-    for chunks in (1, 7):
-        patch = changes.compose(df, ["k"], ["t"], F.col("kind").isin("put", "del"), ["a", "b"], touched, chunks)
-        got = {x.k: (x.a, x.b) for x in changes.apply_patches(patch, ["k"], ["a", "b"], base).collect()}
-        assert got == {k: tuple(want.get(k, {"a": 1, "b": 2}).values()) for k in range(8)}
+    ops = []
+    for t in range(400):
+        k = 0 if r.random() < 0.4 else r.randrange(9)
+        kind = r.choice(["put", "update", "update", "update", "remove"] if r.random() < 0.7 else ["update"])
+        ops.append((k, t, kind, r.choice([None, *range(9)]), r.randrange(9), r.random() < 0.5, r.random() < 0.5))
+    shuffled = [*ops, *ops[:20], (None, 1, "put", 1, 1, True, True), (3, None, "put", 1, 1, True, True)]
+    r.shuffle(shuffled)
+    feed = spark.createDataFrame(shuffled, "k long, t long, kind string, a long, b long, sets_a boolean, sets_b boolean").repartition(5).withColumn("place", changes.place(F.col("t"), F.lit(3))).drop("t")
+    old = {k: {"a": 1, "b": 2} for k in range(12)}
+    base = spark.createDataFrame([(k, 1, 2, "x") for k in range(12)] + [(None, 1, 2, "x")], "k long, a long, b long, place string")
+    for chunks, fan in ((1, 8), (7, 2), (64, 4)):
+        got = [(x.k, x.a, x.b) for x in changes.apply_feed(feed, ["k"], ["a", "b"], base, chunks, fan).collect()]
+        assert len(got) == len(set(got)) and set(got) == _replay(ops, old)
+    assert {(x.k, x.a, x.b) for x in changes.apply_feed(feed, ["k"], ["a", "b"]).collect()} == _replay(ops, {})
+    assert {(x.k, x.a, x.b) for x in changes.apply_feed(feed.filter("false"), ["k"], ["a", "b"], base).collect()} == _replay([], old)
+
+
+def test_removed_rows_are_gone(spark):
+    feed = spark.createDataFrame([("a", 1, "remove", None, None), ("c", 1, "update", 5, True), ("b", 2, "update", 7, True)], "k string, t long, kind string, v long, sets_v boolean").withColumn("place", changes.place(F.col("t"), F.lit(0)))
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    assert [(x.k, x.v) for x in changes.apply_feed(feed, ["k"], ["v"], base).collect()] == [("b", 7)]
 
 
 def test_orphans_batch_by_batch(spark):
