@@ -22,20 +22,27 @@ def p1_circles(spark, sf):
     return hierarchy.circles(table(spark, sf, "nodes").select("id", "parent_id"))
 
 
-def _state(spark, sf):
-    return orphans.open_references(
+def _replayed(spark, sf, history=False):
+    return orphans.replayed(
         table(spark, sf, "nodes").select("id", "node_key", "indexed_at"),
+        table(spark, sf, "removed_nodes").select("node_id", "node_key", "removed_at"),
         table(spark, sf, "edges").select("edge_id", "source_id", "target_id", "linked_at"),
         table(spark, sf, "memories").select("log_pos", "created_at", "anchors"),
+        history=history,
     )
 
 
 def p5_found(spark, sf):
-    return _state(spark, sf).orphans().select(*orphans.REF).distinct()
+    return _replayed(spark, sf)[0].orphans().select(*orphans.REF).distinct()
 
 
 def p5_counts(spark, sf):
-    return _state(spark, sf).snapshot()
+    return _replayed(spark, sf)[0].snapshot()
+
+
+def p5_history(spark, sf):
+    """How many references were open at the end of every quarter, as it was then."""
+    return _replayed(spark, sf, history=True)[1]
 
 
 def p7_found(spark, sf):
@@ -51,7 +58,7 @@ def p7_nodes(spark, sf):
     return changes.current_nodes(table(spark, sf, "nodes").select("node_key", "content_hash", "indexed_at"), table(spark, sf, "removed_nodes").select("node_key", "removed_at"), table(spark, sf, "memories").select("log_pos", "created_at", "anchors"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circles, p5_found, p5_counts, p7_found, p7_state, p7_nodes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circles, p5_found, p5_counts, p5_history, p7_found, p7_state, p7_nodes)}
 
 _TREE = """
 WITH RECURSIVE one AS (SELECT id, min(parent_id) AS p FROM nodes WHERE id IS NOT NULL GROUP BY id),
@@ -108,6 +115,20 @@ every AS (SELECT id, root_id, depth FROM down UNION ALL SELECT id, root_id, -1 F
 SELECT e.id, e.root_id, e.depth, n.path_names, coalesce(b.n, 0) AS n_descendants FROM every e LEFT JOIN named n ON n.id = e.id LEFT JOIN below b ON b.a = e.id""",
     "p5_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_row, ref_field, ref_value FROM lost",
     "p5_counts": _ORPHANS + "SELECT ref_table, ref_field, strftime(make_timestamp(moment), '%Y-%m') AS month, status, count(*) AS n_orphans FROM lost GROUP BY ALL",
+    "p5_history": _NOTES
+    + """,
+refs AS (SELECT DISTINCT 'edges' AS ref_table, edge_id AS ref_row, 'source_id' AS ref_field, '#' || source_id AS k, epoch_us(linked_at) AS moment FROM edges WHERE source_id IS NOT NULL
+ UNION SELECT 'edges', edge_id, 'target_id', '#' || target_id, epoch_us(linked_at) FROM edges WHERE target_id IS NOT NULL
+ UNION SELECT 'memories', log_pos, 'anchors', '@' || unnest(map_keys(anchors)), moment FROM read),
+named AS (SELECT '#' || id AS k, epoch_us(indexed_at) AS since FROM nodes WHERE id IS NOT NULL UNION ALL SELECT '@' || node_key, epoch_us(indexed_at) FROM nodes WHERE node_key IS NOT NULL),
+gone AS (SELECT '#' || node_id AS k, epoch_us(removed_at) AS gone FROM removed_nodes WHERE node_id IS NOT NULL UNION ALL SELECT '@' || node_key, epoch_us(removed_at) FROM removed_nodes WHERE node_key IS NOT NULL),
+moments AS (SELECT moment AS t FROM refs WHERE moment IS NOT NULL UNION SELECT since FROM named UNION SELECT gone FROM gone),
+quarters AS (SELECT DISTINCT date_trunc('quarter', make_timestamp(t)) AS q FROM moments),
+ends AS (SELECT q, epoch_us(q + INTERVAL 3 MONTH) AS until FROM quarters UNION ALL SELECT NULL, NULL WHERE EXISTS (SELECT 1 FROM refs WHERE moment IS NULL) OR EXISTS (SELECT 1 FROM gone)),
+lives AS (SELECT k, min(since) AS since FROM named GROUP BY k), taken AS (SELECT k, max(gone) AS gone FROM gone GROUP BY k),
+seen AS (SELECT e.q, r.*, CASE WHEN l.since < e.until THEN l.since WHEN g.gone IS NOT NULL AND (e.until IS NULL OR g.gone >= e.until) THEN -9223372036854775808 END AS since
+ FROM refs r JOIN ends e ON r.moment IS NULL OR r.moment < e.until LEFT JOIN lives l ON l.k = r.k LEFT JOIN taken g ON g.k = r.k)
+SELECT coalesce(strftime(q, '%Y-%m'), '0000-01') AS period, ref_table, ref_field, CASE WHEN since IS NULL THEN 'pending' ELSE 'late' END AS status, count(*) AS n_orphans FROM seen WHERE since IS NULL OR moment < since GROUP BY ALL""",
     "p7_found": _ALIVE + "SELECT uid, log_pos FROM last WHERE deleted IS DISTINCT FROM true",
     "p7_nodes": _NOTES
     + """,

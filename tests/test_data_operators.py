@@ -113,26 +113,56 @@ def test_removed_rows_are_gone(spark):
     assert [(x.k, x.v) for x in changes.apply_feed(feed, ["k"], ["v"], base).collect()] == [("b", 7)]
 
 
+REF = "key string, ref_table string, ref_row long, ref_field string, ref_value string, at long"
+
+
+def _status(state):
+    return {(r.ref_row, r.status) for r in state.orphans().collect()}
+
+
 def test_orphans_batch_by_batch(spark):
     """Parents that come late, go and come back; the state after several batches is that of brute force."""
-    ref = "key string, ref_table string, ref_row long, ref_field string, ref_value string, at long"
-    refs = spark.createDataFrame([("k1", "t", 1, "f", "k1", 5), ("k2", "t", 2, "f", "k2", 5), ("k2", "t", 2, "f", "k2", 5), ("k3", "t", 3, "f", "k3", None)], ref)
+    refs = spark.createDataFrame([("k1", "t", 1, "f", "k1", 5), ("k2", "t", 2, "f", "k2", 5), ("k2", "t", 2, "f", "k2", 5), ("k3", "t", 3, "f", "k3", None)], REF)
     parent = lambda *rows: spark.createDataFrame(list(rows), "key string, since long")
     s = orphans.empty_state(refs).step(new_parents=parent(("k1", 1), ("k1", 9)), new_refs=refs)
-    status = lambda st: {(r.ref_row, r.status) for r in st.orphans().collect()}
-    assert status(s) == {(2, "pending"), (3, "pending")}
+    assert _status(s) == {(2, "pending"), (3, "pending")}
     s = s.step(new_parents=parent(("k2", 7), ("k3", 7)))
-    assert status(s) == {(2, "late")}
-    s = s.step(removed=parent(("k1", 0)))
-    assert status(s) == {(1, "pending"), (2, "late")}
+    assert _status(s) == {(2, "late")}
+    s = s.step(removed=parent(("k1", 0), ("nobody", 0)))
+    assert _status(s) == {(1, "pending"), (2, "late")}
     s = s.step(new_parents=parent(("k1", 3)), new_refs=refs.withColumn("ref_row", F.col("ref_row") + 10))
-    assert status(s) == {(2, "late"), (12, "late")}
+    assert _status(s) == {(2, "late"), (12, "late")}
     assert {(r.month, r.n_orphans) for r in s.snapshot().collect()} == {("1970-01", 2)}
 
 
+def test_orphans_do_not_depend_on_the_batches(spark):
+    """Any split of arrivals and references into batches between the removals gives the state of one batch."""
+    r = random.Random(8)
+    parents = [(f"k{r.randrange(12)}", r.randrange(20)) for _ in range(40)]
+    refs = [(k := f"k{r.randrange(14)}", "t", i, "f", k, r.choice([None, *range(20)])) for i in range(60)]
+    removed, back = ["k1", "k2", "k13"], [("k1", 15)]
+    since = {}
+    for k, t in parents:
+        since[k] = min(t, since.get(k, t))
+    since = {k: t for k, t in since.items() if k not in removed} | dict(back)
+    want = {(i, "pending" if k not in since else "late") for k, _, i, _, _, at in refs if k not in since or (at is not None and at < since[k])}
+    for n in (1, 2, 5):
+        s = orphans.empty_state(spark.createDataFrame([], REF))
+        cut = lambda rows: [rows[i::n] for i in range(n)]
+        r.shuffle(parents)
+        r.shuffle(refs)
+        for some, asked in zip(cut(parents), cut(refs), strict=True):
+            s = s.step(spark.createDataFrame(some, "key string, since long"), None, spark.createDataFrame(asked, REF))
+        s = s.step(spark.createDataFrame(back, "key string, since long"), spark.createDataFrame([(k,) for k in removed], "key string"))
+        assert _status(s) == want
+
+
 def test_orphans_empty(spark):
     nodes = spark.createDataFrame([], "id long, node_key string, indexed_at timestamp_ntz")
+    removed = spark.createDataFrame([], "node_id long, node_key string, removed_at timestamp_ntz")
     edges = spark.createDataFrame([], "edge_id long, source_id long, target_id long, linked_at timestamp_ntz")
     notes = spark.createDataFrame([(1, "bad", {"k": "h"}), (2, None, None)], "log_pos long, created_at string, anchors map<string,string>")
-    got = orphans.open_references(nodes, edges, notes).orphans().collect()
-    assert [(r.ref_table, r.ref_row, r.ref_value) for r in got] == [("memories", 1, "k")]
+    state, history = orphans.replayed(nodes, removed, edges, notes, history=True)
+    assert [(r.ref_table, r.ref_row, r.ref_value) for r in state.orphans().collect()] == [("memories", 1, "k")] and history.count() == 1
+    state, history = orphans.replayed(nodes, removed, edges, notes.filter("false"), history=True)
+    assert state.orphans().count() == 0 and history.count() == 0
