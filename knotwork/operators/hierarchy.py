@@ -1,9 +1,9 @@
 """Parent-child links to full hierarchies.
 
-Method: weighted disjoint-set forests. Every partition joins its own links into a forest whose members know the offset
-(number of steps) to the end of their chain; chains that leave the partition are boundary links. The boundary links are
-merged hierarchically: ever fewer, wider partitions contract them until one bounded partition holds the rest, which
-yields the roots and the circles. The answers then flow back down. Paths are materialised by traversing the parent index
+Method: weighted disjoint-set forests. Every partition (there are always several) joins its own links into a forest whose
+members know the offset (number of steps) to the end of their chain, by compressing all its paths at once; chains that
+leave the partition are boundary links. The boundary links are merged hierarchically: ever fewer, wider partitions
+contract them until one bounded partition holds the rest, which yields the roots and the circles. The answers then flow back down. Paths are materialised by traversing the parent index
 with doubling steps.
 
 Cases: a null id is dropped; a null or unknown parent makes a root; several rows of one id count as one whose parent is
@@ -27,6 +27,8 @@ from knotwork.session import materialize
 GROUP_ROWS = 250_000
 #: Rows of one partition of the first step.
 LEAF_ROWS = 200_000
+#: The first step has at least so many partitions, however few the rows.
+LEAVES = 4
 
 _CHAIN = "id long, end long, steps long, least long, kind int"
 #: kind of a chain's end: it goes on elsewhere, a root, a circle.
@@ -88,15 +90,16 @@ def _as_links(open_chains: DataFrame) -> DataFrame:
     return open_chains.select("id", F.col("end").alias("nxt"), "steps", "least")
 
 
-def resolve(links: DataFrame, group_rows: int = GROUP_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def resolve(links: DataFrame, group_rows: int = GROUP_ROWS, leaf_rows: int = LEAF_ROWS, leaves: int = LEAVES) -> DataFrame:
     """(id, end, steps, least, kind) with every chain followed to its root or circle.
 
-    links: id, nxt (a known id, or NONE for a root), steps, least; ids distinct.
+    links: id, nxt (a known id, or NONE for a root), steps, least; ids distinct. leaves: at least so many partitions; 1 is
+    for what is left of the boundary.
     """
     n = links.count()
-    if n <= group_rows:
+    if leaves == 1 and n <= group_rows:
         return links.repartition(1).mapInPandas(_contract_batches, _CHAIN)
-    parts = max(2, -(-n // leaf_rows))
+    parts = max(2, leaves, -(-n // leaf_rows))
     local = materialize(links.repartitionByRange(parts, "id").mapInPandas(_contract_batches, _CHAIN))
     going = local.filter(F.col("kind") == OPEN)
     # only ends of open chains are looked up again; their own links form the next, smaller level
@@ -109,7 +112,7 @@ def resolve(links: DataFrame, group_rows: int = GROUP_ROWS, leaf_rows: int = LEA
         solved = _resolve_halved(rest, done, group_rows, leaf_rows, m)
     else:
         ended = done.select("id", F.lit(NONE).alias("nxt"), F.lit(0).cast("long").alias("steps"), "id").toDF("id", "nxt", "steps", "least")
-        top = resolve(rest.unionByName(ended), group_rows, leaf_rows)
+        top = resolve(rest.unionByName(ended), group_rows, leaf_rows, 1)
         solved = _finish(top, done)
     return _finish(local, solved)
 
@@ -144,7 +147,7 @@ def _resolve_halved(rest: DataFrame, done: DataFrame, group_rows: int, leaf_rows
         on = hops.filter(~F.col("stands")).join(via, "nxt").select("id", F.col("nxt2").alias("nxt"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("least", "least2").alias("least"), "kept", F.col("stands2").alias("stands"))
         hops = hops.filter("stands").unionByName(on)
     stop = done.select("id", F.lit(NONE).alias("nxt"), F.lit(0).cast("long").alias("steps"), F.col("id").alias("least"))
-    top = resolve(hops.filter("kept").select("id", "nxt", "steps", "least").unionByName(stop), group_rows, leaf_rows)
+    top = resolve(hops.filter("kept").select("id", "nxt", "steps", "least").unionByName(stop), group_rows, leaf_rows, 1)
     top = materialize(_finish(top, ended.select("id", "end", "steps", F.col("id").alias("least"), "kind")))
     others = hops.filter(~F.col("kept")).select("id", F.col("nxt").alias("end"), "steps", "least", F.lit(OPEN).alias("kind"))
     return top.unionByName(_finish(others, top))
@@ -164,7 +167,10 @@ def parent_links(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent
 
 def roots(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", group_rows: int = GROUP_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """id, root_id, depth of every distinct id; depth -1 on and below a circle."""
-    chains = resolve(materialize(parent_links(nodes, id_col, parent_col)), group_rows, leaf_rows)
+    return _roots(resolve(materialize(parent_links(nodes, id_col, parent_col)), group_rows, leaf_rows))
+
+
+def _roots(chains: DataFrame) -> DataFrame:
     return chains.select("id", F.col("end").alias("root_id"), F.when(F.col("kind") == CIRCLE, F.lit(-1)).otherwise(F.col("steps")).cast("long").alias("depth"))
 
 
@@ -201,7 +207,7 @@ def _closure(links: DataFrame) -> DataFrame:
 def _parts(nodes: DataFrame, id_col: str, parent_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """roots, on_circles, and the closure over all links but those of nodes on circles, whose subtrees have none."""
     links = materialize(parent_links(nodes, id_col, parent_col))
-    found = materialize(roots(nodes, id_col, parent_col))
+    found = materialize(_roots(resolve(links)))
     ring = materialize(on_circles(found, links))
     return found, ring, _closure(links.join(ring.select("id"), "id", "left_anti"))
 
