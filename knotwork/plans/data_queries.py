@@ -71,6 +71,13 @@ ring AS (SELECT id FROM walk WHERE id = moment),
 lost AS (SELECT w.id, min(w.moment) AS root_id FROM walk w JOIN ring r ON r.id = w.moment GROUP BY w.id)
 """
 
+#: Every node's ancestors by following parents step by step; on a circle the walk ends where it meets its start or a node again.
+_DOWN = _TREE + """,
+climb AS (SELECT id, p AS ancestor_id, CAST(1 AS BIGINT) AS distance, [id] AS seen FROM link WHERE p IS NOT NULL AND p != id
+ UNION ALL SELECT c.id, l.p, c.distance + 1, list_append(c.seen, c.ancestor_id) FROM climb c JOIN link l ON l.id = c.ancestor_id WHERE l.p IS NOT NULL AND l.p != c.ancestor_id AND NOT list_contains(c.seen, l.p)),
+up AS (SELECT ancestor_id, id, distance FROM climb)
+"""
+
 #: Instants of memories.created_at in microseconds, null where unreadable.
 _NOTES = r"""
 WITH read AS (SELECT *, CASE
@@ -104,15 +111,14 @@ lost AS (
 SQL = {
     "p1_found": _TREE + "SELECT id, root_id, depth FROM down UNION ALL SELECT id, root_id, -1 FROM lost",
     "p1_circles": _TREE + "SELECT root_id AS circle_id, count(*) AS n_nodes FROM lost GROUP BY 1",
-    "p1_descendants": _TREE + ", up AS (SELECT l.id, l.p AS ancestor_id, CAST(1 AS BIGINT) AS distance FROM link l JOIN down d ON d.id = l.id WHERE l.p IS NOT NULL UNION ALL SELECT u.id, l.p, u.distance + 1 FROM up u JOIN link l ON l.id = u.ancestor_id WHERE l.p IS NOT NULL) SELECT ancestor_id, id, distance FROM up",
-    "p1_paths": _TREE
+    "p1_descendants": _DOWN + "SELECT ancestor_id, id, distance FROM up",
+    "p1_paths": _DOWN
     + """, label AS (SELECT id, coalesce(min(name), '?') AS label FROM nodes WHERE id IS NOT NULL GROUP BY id),
 named AS (SELECT d.id, l.label AS path_names FROM down d JOIN label l ON l.id = d.id WHERE d.depth = 0
   UNION ALL SELECT k.id, n.path_names || ' > ' || l.label FROM link k JOIN named n ON k.p = n.id JOIN label l ON l.id = k.id),
-up AS (SELECT l.id, l.p AS a FROM link l JOIN down d ON d.id = l.id WHERE l.p IS NOT NULL UNION ALL SELECT u.id, l.p FROM up u JOIN link l ON l.id = u.a WHERE l.p IS NOT NULL),
-below AS (SELECT a, count(*) AS n FROM up GROUP BY a),
+below AS (SELECT ancestor_id, count(*) AS n FROM up GROUP BY 1),
 every AS (SELECT id, root_id, depth FROM down UNION ALL SELECT id, root_id, -1 FROM lost)
-SELECT e.id, e.root_id, e.depth, n.path_names, coalesce(b.n, 0) AS n_descendants FROM every e LEFT JOIN named n ON n.id = e.id LEFT JOIN below b ON b.a = e.id""",
+SELECT e.id, e.root_id, e.depth, n.path_names, coalesce(b.n, 0) AS n_descendants FROM every e LEFT JOIN named n ON n.id = e.id LEFT JOIN below b ON b.ancestor_id = e.id""",
     "p5_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_row, ref_field, ref_value FROM lost",
     "p5_counts": _ORPHANS + "SELECT ref_table, ref_field, strftime(make_timestamp(moment), '%Y-%m') AS month, status, count(*) AS n_orphans FROM lost GROUP BY ALL",
     "p5_history": _NOTES

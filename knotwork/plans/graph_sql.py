@@ -84,7 +84,7 @@ links AS MATERIALIZED (SELECT source, target, w / total AS share FROM f JOIN t U
 
 def statements(questions) -> dict[str, str]:
     asked = _questions(questions)
-    nodes_docs = f"SELECT id AS doc, name, {_idents('name', 'qualname')} AS idents, file_path, '' AS summary, substr(coalesce(docstring, ''), 1, 1000) AS docstring FROM n"
+    nodes_docs = f"SELECT id AS doc, name, {_idents('name', 'qualname')} AS idents, file_path, '' AS summary, coalesce(docstring, '') AS docstring FROM n"
     texts = "SELECT doc_id AS doc, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id"
     near = f"near AS (SELECT node, other, {_case('relation', NEARNESS, '0.3')} AS weight FROM b JOIN n ON n.id = b.other QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, coalesce(n.importance, 0) DESC, CAST(other AS VARCHAR), relation, arrow) <= 20)"
     dot = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
@@ -111,7 +111,7 @@ folded AS (SELECT l.*, p.place FROM place p JOIN log l ON l.uid = p.uid AND l.lo
         "sentences": f"WITH {N} SELECT id, {_sentence('docstring', 60)} AS first, CASE WHEN length(docstring) > 40 THEN substr(docstring, 1, 39) || '…' ELSE docstring END AS cut, CAST(ceil(length(docstring) / 3.3) AS INTEGER) AS n_tokens FROM n WHERE length(docstring) > 0",
         "labels": f"WITH {N} SELECT id, {_SHORT} AS short, {_LABEL} AS label, {_SPAN} AS span FROM n",
         "embedding_texts": rf"""WITH {N}, k AS (SELECT *, coalesce(length(docstring), 0) = 0 AS bare FROM n WHERE type IN ('module', 'class', 'function', 'method', 'documentation', 'memory'))
- SELECT id, sha1(CASE WHEN type = 'documentation' THEN concat_ws(chr(10), 'documentation ' || name, coalesce(file_path, ''), coalesce(docstring, '')) ELSE regexp_replace(concat_ws(chr(10), type || ' ' || qualname, coalesce(file_path, ''), coalesce(signature, ''), substr(coalesce(docstring, ''), 1, 500)), '^\s+|\s+$', '', 'g') END) AS text_hash
+ SELECT id, sha1(CASE WHEN type = 'documentation' THEN concat_ws(chr(10), 'documentation ' || name, coalesce(file_path, ''), coalesce(docstring, '')) ELSE regexp_replace(concat_ws(chr(10), type || ' ' || qualname, coalesce(file_path, ''), coalesce(signature, ''), coalesce(docstring, '')), '^\s+|\s+$', '', 'g') END) AS text_hash
  FROM k WHERE NOT (starts_with(name, '__') AND ends_with(name, '__') AND type = 'method' AND bare) AND NOT (type IN ('function', 'method') AND NOT coalesce(is_public, true) AND bare AND coalesce(end_line, 0) - coalesce(start_line, 0) < 8)""",
         "find_by_suffix": f"WITH {N}, s AS (SELECT id, type, importance, array_to_string({_PARTS}[-2:], '.') AS suffix FROM n WHERE len({_PARTS}) >= 2) SELECT suffix, count(*) AS n_nodes, arg_min(id, (-coalesce(importance, 0), id)) AS best_id FROM s WHERE suffix IN (SELECT suffix FROM s WHERE type = 'method') GROUP BY suffix",
         "edges_tidy": f"WITH {E} SELECT * FROM e",
@@ -159,6 +159,6 @@ folded AS (SELECT l.*, p.place FROM place p JOIN log l ON l.uid = p.uid AND l.lo
  SELECT f.uid, coalesce(bad.stale, false) AS stale FROM folded f LEFT JOIN bad ON bad.uid = f.uid""",
         "pack_prefix": f"WITH {costs} SELECT repo, doc_id, CAST(sum(cost) OVER w AS BIGINT) AS used FROM c WINDOW w AS (PARTITION BY repo ORDER BY rank) QUALIFY sum(cost) OVER w <= 3000",
         "pack_first_fit": f"""WITH RECURSIVE {costs}, f AS (SELECT repo, doc_id, rank, CASE WHEN cost <= 3000 THEN cost ELSE 0 END AS used, cost <= 3000 AS kept FROM c WHERE rank = 1
- UNION ALL SELECT c.repo, c.doc_id, c.rank, CASE WHEN f.used + c.cost <= 3000 THEN f.used + c.cost ELSE f.used END, f.used + c.cost <= 3000 FROM f JOIN c ON c.repo = f.repo AND c.rank = f.rank + 1 WHERE c.rank <= {RANKED})
+ UNION ALL SELECT c.repo, c.doc_id, c.rank, CASE WHEN f.used + c.cost <= 3000 THEN f.used + c.cost ELSE f.used END, f.used + c.cost <= 3000 FROM f JOIN c ON c.repo = f.repo AND c.rank = f.rank + 1)
  SELECT repo, doc_id, used FROM f WHERE kept""",
     }
