@@ -199,7 +199,7 @@ def expand_two_hops(spark, sf):
 
 def expand_best_first(spark, sf):
     e, importance = _text_graph(spark, sf)
-    return graph.expand_best_first(_seeds(spark, sf), e, importance).select("query_id", F.col("node").cast("long").alias("node"), "proximity", "how", F.col("via").cast("long").alias("via"))
+    return graph.expand_best_first(_seeds(spark, sf), e, importance).select("query_id", F.col("node").cast("long").alias("node"), F.round("proximity", 9).alias("proximity"), "how", F.col("via").cast("long").alias("via"))
 
 
 def _documents(spark, sf):

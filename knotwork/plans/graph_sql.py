@@ -143,6 +143,12 @@ folded AS (SELECT l.*, p.place FROM place p JOIN log l ON l.uid = p.uid AND l.lo
         "expand_two_hops": f"""{NE}, {BOTH}, {near}, seed AS (SELECT repo AS query_id, id AS node, 1.0 / row_number() OVER w AS p FROM n WHERE repo IS NOT NULL WINDOW w AS (PARTITION BY repo ORDER BY coalesce(importance, 0) DESC, id) QUALIFY row_number() OVER w <= 3),
  one AS (SELECT query_id, other AS node, max(p * weight) AS p FROM seed JOIN near USING (node) GROUP BY ALL), two AS (SELECT query_id, other AS node, p * weight * 0.5 AS p FROM one JOIN near USING (node))
  SELECT query_id, node, round(max(p), 9) AS proximity FROM (SELECT * FROM seed UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL""",
+        "expand_best_first": f"""{NE}, {BOTH}, near AS (SELECT node, other, relation || ' ' || arrow AS how, {_case('relation', NEARNESS, '0.3')} AS weight FROM b JOIN n ON n.id = b.other QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, coalesce(n.importance, 0) DESC, CAST(other AS VARCHAR), relation, arrow) <= 20),
+ s AS (SELECT repo AS query_id, id AS node, 1.0::DOUBLE / row_number() OVER w AS p, 0 AS hop, NULL AS via, NULL AS how FROM n WHERE repo IS NOT NULL WINDOW w AS (PARTITION BY repo ORDER BY coalesce(importance, 0) DESC, id) QUALIFY row_number() OVER w <= 3),
+ one AS (SELECT * FROM (SELECT * FROM s UNION ALL SELECT query_id, other, p * weight, 1, node, near.how FROM s JOIN near USING (node)) QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY p DESC, hop, CAST(via AS VARCHAR), how) = 1),
+ two AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT query_id, other, p * weight * 0.5, 2, node, near.how FROM one JOIN near USING (node) WHERE hop = 1) QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY p DESC, hop, CAST(via AS VARCHAR), how) = 1),
+ r AS (SELECT t.*, s.node IS NOT NULL AS seed, row_number() OVER (PARTITION BY t.query_id, s.node IS NOT NULL ORDER BY t.p DESC, CAST(t.node AS VARCHAR)) AS k FROM two t LEFT JOIN s ON s.query_id = t.query_id AND s.node = t.node)
+ SELECT query_id, node, round(p, 9) AS proximity, how, via FROM r WHERE seed OR k <= 50""",
         "bm25_documents": f"WITH {asked}, {_bm25(texts, {'text': 1.0})} SELECT query_id, doc AS doc_id, round(score, 6) AS score FROM hits",
         "bm25_nodes": f"WITH {N}, {asked}, {_bm25(nodes_docs, NODE_FIELDS)} SELECT query_id, doc AS id, round(score, 6) AS score FROM hits",
         "cosine_top": f"WITH {cosine(10)} SELECT query_id, vec_id, round(score, 5) AS score FROM c",
