@@ -225,10 +225,8 @@ class Engine:
                 out += [f"  ({r.other.split(':', 1)[1]}) {r.docstring}" if label == "MEMORIES" else f"  {r.mark}{r.short} ({r.kind}) — {r.at}" for r in some]
                 out += [f"  … +{some[0].more} more"] if some[0].more else []
         if source:
-            one = self.nodes.filter(c("key") == node.key)
-            seg = pack.segments(one, self.store.read("files", _FILES)).first()
-            kids = [r.asDict() for r in self.nodes.filter(c("parent_key") == node.key).orderBy("start_line").select("key", "name", "signature", "start_line").collect()]
-            out += ["\nSOURCE", pack.snippet({**node.asDict(), "lines": seg.lines if seg else [], "children": kids}, pack.EXPAND_SNIPPET).rstrip()]
+            one = pack.with_source(self.nodes.filter(c("key") == node.key), self.nodes, self.store.read("files", _FILES))
+            out += ["\nSOURCE", (one.select(pack.snippet(pack.EXPAND_SNIPPET).alias("s")).first().s or "").rstrip()]
         if found[1:]:
             out += ["\nOTHER MATCHES"] + [f"  {r.qualname} ({r.type}) — {r.file_path}:{r.start_line}" for r in found[1:9]]
         if any(r.mark for r in rows):

@@ -284,17 +284,23 @@ def node_summaries(spark, sf):
 
 
 def _costs(spark, sf):
-    d = table(spark, sf, "documents").filter("repo is not null and length(text) > 0").select("repo", "doc_id", X.estimate_tokens(F.col("text")).alias("cost")).dropDuplicates(["doc_id"])
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("cost"), "doc_id")))
+    return table(spark, sf, "documents").filter("repo is not null and length(text) > 0").select("repo", "doc_id", X.estimate_tokens(F.col("text")).alias("cost")).dropDuplicates(["doc_id"])
+
+
+def _largest():
+    return Window.partitionBy("repo").orderBy(F.desc("cost"), "doc_id")
 
 
 def pack_prefix(spark, sf):
-    return pack.pack_prefix(_costs(spark, sf), 3000, group="repo").select("repo", "doc_id", F.col("used").cast("long").alias("used"))
+    rank = F.row_number().over(_largest())
+    few = _costs(spark, sf).withColumn("rank", rank).filter("rank <= 3000")  # a document costs a token at least
+    return pack.pack_prefix(few, 3000, group="repo").select("repo", "doc_id", F.col("used").cast("long").alias("used"))
 
 
 def pack_first_fit(spark, sf):
-    costs = materialize(_costs(spark, sf))
-    return pack.pack_first_fit(costs, 3000, group="repo").join(costs, ["repo", "rank"]).select("repo", "doc_id", "used")
+    can = pack.fitting(_costs(spark, sf), 3000, ["repo"], "cost", F.col("doc_id"))
+    can = materialize(can.withColumn("rank", F.row_number().over(_largest())))
+    return pack.pack_first_fit(can, 3000, group="repo").join(can, ["repo", "rank"]).select("repo", "doc_id", "used")
 
 
 def repo_maps(spark, sf):
