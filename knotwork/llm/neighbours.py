@@ -1,37 +1,46 @@
 """Most similar vectors for every vector.
 
 Method: NN-descent. A neighbour graph is started from random-projection forests (rows sorted by the side of random planes
-they lie on, cut into blocks, every block compared with itself), then improved by joining neighbours of neighbours until
-few lists change; the graph also answers queries by greedy search. Comparisons run on vectors rounded to bytes; the lists
-are put in exact order by the whole vectors at the end.
+they lie on, cut into blocks, every block compared with itself), then improved at every size by joining neighbours of
+neighbours until few lists change; a round compares only pairs of which one is new around their pivot. The graph also
+answers queries by greedy search. Comparisons run on vectors rounded to bytes; what is within their rounding error of a
+list's k-th is put in exact order by the whole vectors at the end.
+
+As NN-descent does, a round samples the pairs around a pivot that many lists name: its members meet in random groups of
+LOCAL, other ones every round. against_all() is the exact way, for a stated set of queries in blocks.
 
 Equal vectors are one class: the graph runs over classes, and a class's members come back at the end, so copies neither
 crowd a list nor meet in one task. Lists of the members take equal cosines in the order of node_key.
 
 Cases: unusable vectors (null, not dim long, all zero, NaN or infinite values) and rows without node_key or model take no
-part; identical rows count once, of several rows of a node the one with the smallest text_hash; a model with fewer nodes
-than k gives shorter lists; empty tables give empty results; extra columns are ignored. Results are approximate; the tests
-measure recall against brute force.
+part; vectors of one model that differ in length are not compared; identical rows count once, of several rows of a node
+the one with the smallest text_hash; a model with fewer nodes than k gives shorter lists; empty tables give empty results;
+extra columns are ignored. Results are approximate; the tests and p4_recall measure recall against brute force.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.session import materialize
 
-#: Neighbours kept while the graph is built; random orders; rows compared at once; rounds at most; share of changes to go on for.
-KEEP, TREES, BLOCK, ROUNDS, MOVING = 10, 8, 1024, 3, 0.02
+#: Neighbours kept while the graph is built, at least, and twice k; random orders; rows compared at once; share of changes to go on for.
+KEEP, TREES, BLOCK, MOVING = 10, 8, 1024, 0.01
+#: A graph that still moves after so many rounds is reported as not converged.
+ROUNDS = 20
 #: Members of a neighbourhood compared at once.
 LOCAL = 64
-#: Candidates put in exact order.
-EXACT = 8
+#: No rounded cosine is farther than this from the exact one (vectors of ten numbers or more).
+ROUNDING = 0.01
+#: Queries that against_all compares with everything in one pass.
+QUERIES = 4096
 
 _LISTS = "id long, far array<float>, nbr array<long>"
 
@@ -144,64 +153,83 @@ def _merge(lists: DataFrame, keep: int) -> DataFrame:
     return both.select("id", best.alias("z")).select("id", F.col("z.far").alias("far"), F.col("z.nbr").alias("nbr"))
 
 
-def _join_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pivot, id, bytes, worst) sorted by pivot: who stands around the same pivot gets to know each other."""
-    out: list[np.ndarray] = []
-    size = 0
-
-    def pairs():
-        x = np.concatenate(out, axis=1)
-        _, first = np.unique(x[:2].view(np.int64), axis=1, return_index=True)
-        x = x[:, first]
-        order = np.argsort(x[0], kind="stable")
-        i, j, s = x[0][order], x[1][order], x[2][order].view(np.float64)
-        start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-        offsets = pa.array(np.append(start, len(i)), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(i[start]), pa.ListArray.from_arrays(offsets, pa.array((-s).astype(np.float32))), pa.ListArray.from_arrays(offsets, pa.array(j))], names=["id", "far", "nbr"])
-
-    def meet(ids: np.ndarray, vectors: np.ndarray, worst: np.ndarray) -> None:
-        nonlocal size
-        sims = _similar(vectors)
-        np.fill_diagonal(sims, -2)
-        a, b = np.nonzero((sims > worst[:, None]) & (ids[:, None] != ids[None, :]))
-        if len(a):
-            out.append(np.stack([ids[a], ids[b], sims[a, b].astype(np.float64).view(np.int64)]))
-            size += len(a)
-
-    held: list = []
-    for b in batches:
-        pivot = np.asarray(b.column("pivot"))
-        ids, worst, raw = np.asarray(b.column("id")), np.asarray(b.column("worst")), b.column("bytes").to_pylist()
-        cut = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]])) if len(pivot) else np.zeros(0, int)
-        for s, e in zip(cut, np.append(cut[1:], len(pivot)), strict=True):
-            if held and held[0] != pivot[s]:
-                for p in range(0, len(held[1]), LOCAL):
-                    q = slice(p, p + LOCAL)
-                    meet(np.array(held[1][q]), np.frombuffer(b"".join(held[3][q]), np.int8).reshape(len(held[1][q]), -1), np.array(held[2][q]))
-                held = []
-            if not held:
-                held = [pivot[s], [], [], []]
-            held[1] += ids[s:e].tolist()
-            held[2] += worst[s:e].tolist()
-            held[3] += raw[s:e]
-            while len(held[1]) >= 2 * LOCAL:
-                meet(np.array(held[1][:LOCAL]), np.frombuffer(b"".join(held[3][:LOCAL]), np.int8).reshape(LOCAL, -1), np.array(held[2][:LOCAL]))
-                held = [held[0], held[1][LOCAL:], held[2][LOCAL:], held[3][LOCAL:]]
-        if size > 300_000:
+def _join_local(keep: int):
+    """Rows (pivot, id, bytes, worst, new) sorted by pivot: of those around the same pivot, each pair with a new one meets."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        size = 0
+
+        def pairs():
+            """What was found so far, each id's nearest ones only, so that a hub's lists stay short before they are merged."""
+            x = np.concatenate(out, axis=1)
+            i, j, s = x[0], x[1], x[2].view(np.float64)
+            order = np.lexsort((j, -s, i))
+            i, j, s = i[order], j[order], s[order]
+            other = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            i, j, s = i[other], j[other], s[other]
+            start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+            i, j, s = i[place < keep], j[place < keep], s[place < keep]
+            start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            offsets = pa.array(np.append(start, len(i)), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(i[start]), pa.ListArray.from_arrays(offsets, pa.array((-s).astype(np.float32))), pa.ListArray.from_arrays(offsets, pa.array(j))], names=["id", "far", "nbr"])
+
+        def meet(held: list, q: slice) -> None:
+            nonlocal size
+            ids, worst, new = np.array(held[1][q]), np.array(held[2][q]), np.array(held[4][q])
+            if not new.any():
+                return
+            sims = _similar(np.frombuffer(b"".join(held[3][q]), np.int8).reshape(len(ids), -1))
+            a, b = np.nonzero((sims > worst[:, None]) & (ids[:, None] != ids[None, :]) & (new[:, None] | new[None, :]))
+            if len(a):
+                out.append(np.stack([ids[a], ids[b], sims[a, b].astype(np.float64).view(np.int64)]))
+                size += len(a)
+
+        held: list = []
+        for b in batches:
+            pivot = np.asarray(b.column("pivot"))
+            ids, worst, raw, new = np.asarray(b.column("id")), np.asarray(b.column("worst")), b.column("bytes").to_pylist(), b.column("new").to_pylist()
+            cut = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]])) if len(pivot) else np.zeros(0, int)
+            for s, e in zip(cut, np.append(cut[1:], len(pivot)), strict=True):
+                if held and held[0] != pivot[s]:
+                    for p in range(0, len(held[1]), LOCAL):
+                        meet(held, slice(p, p + LOCAL))
+                    held = []
+                if not held:
+                    held = [pivot[s], [], [], [], []]
+                held[1] += ids[s:e].tolist()
+                held[2] += worst[s:e].tolist()
+                held[3] += raw[s:e]
+                held[4] += new[s:e]
+                while len(held[1]) >= 2 * LOCAL:
+                    meet(held, slice(0, LOCAL))
+                    held = [held[0], *(h[LOCAL:] for h in held[1:])]
+            if size > 300_000:
+                yield pairs()
+                out, size = [], 0
+        if held:
+            for p in range(0, len(held[1]), LOCAL):
+                meet(held, slice(p, p + LOCAL))
+        if out:
             yield pairs()
-            out, size = [], 0
-    if held:
-        for p in range(0, len(held[1]), LOCAL):
-            q = slice(p, p + LOCAL)
-            meet(np.array(held[1][q]), np.frombuffer(b"".join(held[3][q]), np.int8).reshape(len(held[1][q]), -1), np.array(held[2][q]))
-    if out:
-        yield pairs()
+
+    return work
 
 
 def classes(embeddings: DataFrame) -> DataFrame:
-    """id (of the class), model, vector, node_key, place (1.. within the class, by node_key) of every usable vector."""
-    each = usable(embeddings).withColumn("id", F.xxhash64("model", "vector"))
-    return each.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("node_key")))
+    """id (of the class), model (and length: what may be compared), vector, node_key of every usable vector."""
+    each = usable(embeddings).withColumn("model", _space("model", "vector"))
+    return each.withColumn("id", F.xxhash64("model", "vector"))
+
+
+def _space(model: str, vector: str) -> Column:
+    return F.concat_ws("/", F.col(model), F.size(vector).cast("string"))
+
+
+def first_members(each: DataFrame, most: int) -> DataFrame:
+    """The first members of every class by node_key, with place. Spark cuts the groups before they meet."""
+    return each.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("node_key"))).filter(F.col("place") <= most)
 
 
 def _keyed(vectors: DataFrame, trees: int, bits: int) -> DataFrame:
@@ -217,26 +245,33 @@ def _bits(n: int, block: int) -> int:
     return int(max(0, min(40, np.ceil(np.log2(max(n, 1) / block)))))
 
 
-def graph(reps: DataFrame, keep: int = KEEP, trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
-    """id, far (negative cosines of rounded vectors), nbr: lists of about the keep nearest. reps: id, model, vector."""
+def graph(reps: DataFrame, keep: int = KEEP, trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS, moving: float = MOVING) -> DataFrame:
+    """id, far (negative cosines of rounded vectors), nbr: lists of about the keep nearest. reps: id, model, vector.
+
+    Rounds go on until fewer than the share `moving` of all places in lists change; a warning tells if `rounds` were not
+    enough."""
     n = reps.count()
     keyed = _keyed(reps, trees, _bits(n, block))
     ordered = _ordered(keyed, n, trees, block)
-    near = materialize(_merge(ordered.mapInArrow(_compare_blocks(keep, block), _LISTS), keep))
+    near = materialize(_merge(ordered.mapInArrow(_compare_blocks(keep, block), _LISTS), keep).withColumn("old", F.array().cast("array<long>")))
     small = keyed.filter("tree = 0").select("id", "bytes")
-    for _ in range(rounds if n > 2 * block else 0):
+    for turn in range(rounds):
         worst = near.select("id", F.when(F.size("far") >= keep, -F.element_at("far", -1)).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        members = small.join(worst, "id")
-        links = near.select("id", F.explode("nbr").alias("other"))
-        around = links.select(F.col("id").alias("pivot"), F.col("other").alias("id")).unionByName(links.select(F.col("other").alias("pivot"), "id"))
-        seen = around.join(members, "id").select("pivot", "id", "bytes", "worst").hint("rebalance", "pivot").sortWithinPartitions("pivot")
-        better = _merge(near.unionByName(seen.mapInArrow(_join_local, _LISTS)), keep)
-        better = materialize(better)
-        moved = better.join(near.select("id", F.col("nbr").alias("old")), "id", "left").agg(F.sum(F.size(F.array_except("nbr", F.coalesce("old", F.array().cast("array<long>"))))).alias("m")).first().m or 0
+        links = near.select("id", F.explode(F.transform("nbr", lambda x: F.struct(x.alias("other"), (~F.array_contains("old", x)).alias("new")))).alias("z")).select("id", "z.*")
+        around = links.select(F.col("id").alias("pivot"), F.col("other").alias("id"), "new").unionByName(links.select(F.col("other").alias("pivot"), "id", "new"))
+        # a pivot around which nothing is new brings nobody together
+        fresh = links.filter("new").select(F.explode(F.array("id", "other")).alias("pivot")).distinct()
+        live = around.join(fresh, "pivot", "left_semi")
+        seen = live.join(small.join(worst, "id"), "id").select("pivot", "id", "bytes", "worst", "new").hint("rebalance", "pivot").sortWithinPartitions("pivot", F.xxhash64("id", F.lit(turn)))
+        better = _merge(near.select("id", "far", "nbr").unionByName(seen.mapInArrow(_join_local(keep), _LISTS)), keep)
+        better = materialize(better.join(near.select("id", F.col("nbr").alias("old")), "id", "left").withColumn("old", F.coalesce("old", F.array().cast("array<long>"))))
+        moved = better.agg(F.sum(F.size(F.array_except("nbr", "old"))).alias("m")).first().m or 0
         near = better
-        if moved < MOVING * keep * n:
+        if moved <= moving * keep * n:
             break
-    return near
+    else:
+        warnings.warn(f"the neighbour graph still moved after {rounds} rounds: {moved} of {keep * n} places", stacklevel=2)
+    return near.drop("old")
 
 
 def _enter_blocks(keep: int, block: int):
@@ -285,14 +320,15 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, beam: int = 64
     queries: query_id, model, vector. Greedy graph search: a query enters where the forests put it, then the best beam
     nodes it has met open their neighbours, round by round, until a round brings nothing better."""
     each = materialize(classes(embeddings))
-    reps = each.filter("place = 1").select("id", "model", "vector")
-    n, near = reps.count(), graph(reps, trees=trees, block=block)
+    firsts = materialize(first_members(each, k))
+    reps = firsts.filter("place = 1").select("id", "model", "vector")
+    n, near = reps.count(), graph(reps, keep=max(KEEP, 2 * k), trees=trees, block=block)
     # a node is also reached from those whose list it is in: of these, the nearest ones join its own list
     links = near.select("id", F.explode(F.arrays_zip("far", "nbr")).alias("z")).select("id", "z.far", F.col("z.nbr").alias("other"))
-    back = links.withColumn("n", F.row_number().over(Window.partitionBy("other").orderBy("far", "id"))).filter(F.col("n") <= 2 * KEEP).select(F.col("other").alias("id"), F.col("id").alias("other"))
+    back = links.withColumn("n", F.row_number().over(Window.partitionBy("other").orderBy("far", "id"))).filter(F.col("n") <= 2 * max(KEEP, 2 * k)).select(F.col("other").alias("id"), F.col("id").alias("other"))
     links = materialize(links.select("id", "other").unionByName(back).distinct())
     asked = queries.filter("query_id is not null and model is not null and vector is not null").filter(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)).dropDuplicates(["query_id"]).withColumn("id", F.xxhash64("query_id", F.lit("query")))
-    asked = materialize(asked.select("query_id", "id", "model", "vector"))
+    asked = materialize(asked.select("query_id", "id", _space("model", "vector").alias("model"), "vector"))
     own, theirs = _keyed(asked, trees, _bits(n, block)), _keyed(reps, trees, _bits(n, block))
     both = own.withColumn("asked", F.lit(True)).unionByName(theirs.withColumn("asked", F.lit(False)))
     start = _merge(_ordered(both, n, trees, block).mapInArrow(_enter_blocks(beam, block), _LISTS), beam)
@@ -309,7 +345,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, beam: int = 64
             break
     vectors = reps.select(F.col("id").alias("other"), F.col("vector").alias("other_vector"))
     exact = best.select(F.col("query").alias("id"), F.col("id").alias("other")).join(asked.select("id", "vector"), "id").join(vectors, "other").mapInArrow(_exact, "id long, other long, cosine double")
-    members = each.filter(F.col("place") <= k).select(F.col("id").alias("other"), "node_key")
+    members = firsts.select(F.col("id").alias("other"), "node_key")
     shown = exact.join(members, "other").join(asked.select("id", "query_id"), "id")
     ranked = shown.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "node_key")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "node_key", "cosine", "rank")
@@ -331,9 +367,12 @@ def similar(embeddings: DataFrame, k: int = 5, floor: float = -2.0, **how) -> Da
     floor: leave out pairs below that cosine.
     """
     each = materialize(classes(embeddings))
-    reps = each.filter("place = 1").select("id", "model", "vector")
-    near = graph(reps, **how)
-    pairs = near.select("id", F.explode(F.slice(F.arrays_zip("far", "nbr"), 1, max(EXACT, k + 3))).alias("z")).filter(F.col("z.far") <= 0.01 - floor).select("id", F.col("z.nbr").alias("other"))
+    first = materialize(first_members(each, k + 1))
+    reps = first.filter("place = 1").select("id", "model", "vector")
+    near = graph(reps, **{"keep": max(KEEP, 2 * k), **how})
+    # all that the rounding may have put behind the k-th
+    close = F.filter(F.arrays_zip("far", "nbr"), lambda z: z["far"] <= F.element_at("far", F.least(F.size("far"), F.lit(k))) + 2 * ROUNDING)
+    pairs = near.select("id", F.explode(close).alias("z")).filter(F.col("z.far") <= ROUNDING - floor).select("id", F.col("z.nbr").alias("other"))
     vectors = reps.select("id", "vector")
     # every pair once, whichever list it came from
     once = pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
@@ -341,15 +380,61 @@ def similar(embeddings: DataFrame, k: int = 5, floor: float = -2.0, **how) -> Da
     exact = materialize(exact)
     both = exact.unionByName(exact.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine"))
     # members beyond the first k + 1 of a class are in nobody's list, and have only the first ones in their own
-    first = each.filter(F.col("place") <= k + 1).select("id", "node_key", "place")
     crowd = first.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
     shown = both.unionByName(crowd).join(first.select(F.col("id").alias("other"), F.col("node_key").alias("other_key")), "other")
     asked = first.select("id", "node_key").join(shown.select("id", "other_key", "cosine"), "id")
-    late = each.filter(F.col("place") > k + 1).select("id", "node_key").join(first.filter(F.col("place") <= k).select("id", F.col("node_key").alias("other_key")), "id").withColumn("cosine", F.lit(1.0)).select("id", "node_key", "other_key", "cosine")
+    full = first.filter(F.col("place") == k + 1).select("id")
+    late = each.join(full, "id", "left_semi").select("id", "model", "node_key").join(first.select("model", "node_key"), ["model", "node_key"], "left_anti")
+    late = late.join(first.filter(F.col("place") <= k).select("id", F.col("node_key").alias("other_key")), "id").withColumn("cosine", F.lit(1.0)).select("id", "node_key", "other_key", "cosine")
     ranked = asked.unionByName(late).filter("node_key != other_key").withColumn("rank", F.row_number().over(Window.partitionBy("node_key").orderBy(F.desc("cosine"), "other_key")))
     return ranked.filter(F.col("rank") <= k).select("node_key", "other_key", "cosine", "rank")
 
 
+def against_all(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """node_key, other_key, cosine, rank: the exact k most similar others of the nodes in queries (node_key).
+
+    The queries are compared with every vector, QUERIES of them in a pass over the table."""
+    spark = embeddings.sparkSession
+    each = materialize(usable(embeddings).withColumn("model", _space("model", "vector")))
+    asked = materialize(each.join(queries.select("node_key").distinct(), "node_key", "left_semi"))
+    passes = max(1, -(-asked.count() // QUERIES))
+    found = None
+    for turn in range(passes):
+        # about QUERIES rows, whatever the table's size
+        rows = asked.filter(F.pmod(F.xxhash64("node_key"), F.lit(passes)) == turn).collect()
+        spaces = {m: ([r.node_key for r in rows if r.model == m], np.array([r.vector for r in rows if r.model == m], np.float64)) for m in {r.model for r in rows}}
+        shared = spark.sparkContext.broadcast({m: (keys, v / np.linalg.norm(v, axis=1, keepdims=True)) for m, (keys, v) in spaces.items()})
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                models, names = np.array(b.column("model").to_pylist(), object), np.array(b.column("node_key").to_pylist(), object)
+                for m, (keys, q) in shared.value.items():
+                    at = np.flatnonzero(models == m)
+                    if not len(at):
+                        continue
+                    x = _matrix(b.column("vector").take(pa.array(at)))
+                    sims = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                    sims[np.array(keys, object)[:, None] == names[at][None, :]] = -2
+                    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    i = np.repeat(np.arange(len(keys)), top.shape[1])
+                    rows = [(keys[a], names[at[c]], sims[a, c]) for a, c in zip(i, top.ravel(), strict=True) if sims[a, c] > -2]
+                    yield pa.RecordBatch.from_pylist([dict(zip(("node_key", "other_key", "cosine"), r, strict=True)) for r in rows], pa.schema([("node_key", pa.string()), ("other_key", pa.string()), ("cosine", pa.float64())]))
+
+        part = each.select("model", "node_key", "vector").mapInArrow(compare, "node_key string, other_key string, cosine double")
+        found = part if found is None else found.unionByName(part)
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("node_key").orderBy(F.desc("cosine"), "other_key")))
+    return best.filter(F.col("rank") <= k)
+
+
+def recall(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """n_queries, n_pairs, n_found, recall: how many of the exact k neighbours of the queries the lists hold. A neighbour
+    counts as held if the list reaches its cosine: which of several equal ones it names does not matter."""
+    lists = similar(embeddings, k).select("node_key", "rank", F.col("cosine").alias("have"))
+    exact = materialize(against_all(embeddings, queries, k))
+    met = exact.join(lists, ["node_key", "rank"], "left").agg(F.count_distinct("node_key").alias("n_queries"), F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("have") >= F.col("cosine") - 1e-6).alias("n_found"))
+    return met.withColumn("recall", F.when(F.col("n_pairs") > 0, F.col("n_found") / F.col("n_pairs")))
+
+
 def mutual(embeddings: DataFrame, k: int = 5, floor: float = 0.9, **how) -> DataFrame:
     """node_key_a < node_key_b: pairs of nodes in each other's lists of k whose cosine is at least floor."""
     lists = similar(embeddings, k, floor, **how).select(F.least("node_key", "other_key").alias("node_key_a"), F.greatest("node_key", "other_key").alias("node_key_b"))

@@ -33,7 +33,7 @@ def p4_found(spark, sf):
 
 
 def p4_similar(spark, sf):
-    return neighbours.similar(table(spark, sf, "node_embeddings"))
+    return neighbours.similar(table(spark, sf, "node_embeddings")).withColumn("cosine", F.round("cosine", 6))
 
 
 def p4_search(spark, sf):
@@ -44,6 +44,11 @@ def p4_search(spark, sf):
     return neighbours.search(e, asked)
 
 
+def p4_recall(spark, sf):
+    """Recall of the lists for the nodes whose id is divisible by 50, against brute force in blocks."""
+    return neighbours.recall(table(spark, sf, "node_embeddings"), table(spark, sf, "nodes").filter("id % 50 = 0").select("node_key"))
+
+
 def p6_found(spark, sf):
     return notwritten.not_written(_files(spark, sf), table(spark, sf, "packages"))
 
@@ -81,11 +86,14 @@ def p10_limits(spark, sf):
     return truncation.limits(table(spark, sf, "documents").select("source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p4_found, p4_similar, p4_search, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p4_found, p4_similar, p4_search, p4_recall, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
 
-SQL = {
-    "p4_found": """WITH u AS (SELECT DISTINCT model, node_key, CAST(vector AS DOUBLE[]) AS v FROM node_embeddings WHERE vector IS NOT NULL AND node_key IS NOT NULL AND model IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x != 0)) > 0),
+_USABLE = """WITH u AS (SELECT DISTINCT model, node_key, CAST(vector AS DOUBLE[]) AS v FROM node_embeddings WHERE vector IS NOT NULL AND node_key IS NOT NULL AND model IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x != 0)) > 0),
 c AS (SELECT a.node_key AS a, b.node_key AS b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS cosine FROM u a JOIN u b ON a.model = b.model AND a.node_key != b.node_key),
-t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) <= 5)
-SELECT x.a AS node_key_a, x.b AS node_key_b FROM t x JOIN t y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b AND x.cosine >= 0.9""",
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM c QUALIFY rank <= 5)
+"""
+
+SQL = {
+    "p4_found": _USABLE + "SELECT x.a AS node_key_a, x.b AS node_key_b FROM t x JOIN t y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b AND x.cosine >= 0.9",
+    "p4_similar": _USABLE + "SELECT a AS node_key, b AS other_key, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM t",
 }

@@ -31,20 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def _own_dir(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
     return f"{shared_dir(spark)}/knotwork-{spark.sparkContext.applicationId}"
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete all that this application has written down. Results that were not read out by then are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. Survives the loss of executors."""
     spark = spark or df.sparkSession
-    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
