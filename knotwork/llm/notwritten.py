@@ -2,42 +2,47 @@
 
 Method: linear support-vector classifiers on hashed character n-grams and path components. No labels come with the files,
 so a bounded sample is labelled by what gives a file away: a tool's or a third party's header, a package's folder, the
-shape of a lock file, of minified code or of dumped data. The header is masked out of the n-grams, and every labelled
-file whose contents can show what it is is learnt twice, once without its giveaway features, so that the classifier
-also knows such files where nothing gives them away. Validation splits by repository.
+shape of a lock file, of minified code or of dumped data. Headers are masked: the classifier sees only the text behind
+them, the parts of the path and the measured shape of the text, neither in the fit nor in the scores any of the headers or
+names that the labels were taken from. Validation splits by repository.
 
-SAMPLE bounds the labelled rows that a classifier is fitted on; everything else reads all files, whole.
+CANDIDATES and SAMPLE bound the rows that are labelled and that a classifier is fitted on; everything else reads all
+files, whole.
 
 Cases: null contents and paths are judged by what is there, and a file without both is not flagged; empty files are not
-flagged; identical rows give one result; null ids are dropped; no packages, or no positive or no negative label in the
-sample, still give a result (then the labels themselves decide); empty tables give empty results; extra columns are
-ignored.
+flagged; of several rows of a file each is judged, and one that is flagged flags the file; null ids are dropped; with no
+packages the labels come from the other evidence; where the sample has no positive or no negative label there is nothing
+to fit, and the files are judged by their evidence (column fitted of scored() says so); empty tables give empty results;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from knotwork.session import materialize
+from knotwork.session import folder, materialize
 
-#: At most about so many labelled files of either kind are fitted on.
-SAMPLE = 3000
-#: Packages are matched by name within tasks up to this many; more are matched by a join.
+#: About so many files at most, drawn by a hash of their id, are labelled; of either label so many are fitted on.
+CANDIDATES, SAMPLE = 30_000, 3000
+#: Package names are matched within tasks up to this many; of more, only those that stand in some file's path or header.
 PACKAGES = 100_000
 GRAMS, PATHS = 1 << 13, 1 << 10
+#: What labels are taken from besides the shapes; none of it is a feature.
+GIVEAWAYS = ("generated_header", "package_header", "package_folder", "lock_name")
 #: Names of the features after the hashed ones.
-GIVEAWAYS = ("generated_header", "package_header", "package_folder", "lock_name", "minified_name", "generated_name")
 SHAPES = ("dense", "long_lines", "literals", "table", "short_names", "lock_keys")
-SIZE = 2 * GRAMS + PATHS + len(GIVEAWAYS) + len(SHAPES)
+SIZE = 2 * GRAMS + PATHS + len(SHAPES)
 
 # Headers and names that give a file away.
 _GENERATED = re.compile(
@@ -49,8 +54,6 @@ _LICENSED = re.compile(r"\b(?:licensed under|license:|released under|spdx-licens
 _PATCHED = re.compile(r"^\W*local (?:patch|change|modification)\b", re.I | re.M)
 _VERSIONED = re.compile(r"^\W*([a-z][\w.-]*)[ @]v?\d+\.\d+(?:\.\d+)*\W*$", re.I)
 _LOCK_NAME = re.compile(r"(?:[.-]lock(?:\.(?:json|ya?ml|toml))?|(?:package|npm)-lock\.json|npm-shrinkwrap\.json|go\.sum)$", re.I)
-_MIN_NAME = re.compile(r"[.-](?:min|bundle|packed)\.(?:m?js|css)$", re.I)
-_GEN_NAME = re.compile(r"_pb2(?:_grpc)?\.pyi?$|\.g\.\w+$|[._]generated\.\w+$|\.pb\.\w+$", re.I)
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|<!--|\[//\]:|--|;|%|$)")
 _LITERAL = re.compile(r"(?<![\w.])-?\d[\w.]*(?=\s*[,\]\)}:])|(?<![rf\w])(?:\"[^\"\n]*\"|'[^'\n]*')(?=\s*[,\]\)}:])")
 _NOISE = re.compile(r'"""(?:.|\n)*?"""|\'\'\'(?:.|\n)*?\'\'\'|#[^\n]*|/\*(?:.|\n)*?\*/|^\s*//[^\n]*', re.M)
@@ -76,13 +79,13 @@ def _lock_keys(text: str, extension: str) -> float:
 
 
 def evidence(path: str, text: str, packages: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The giveaway features and the shape features of a file."""
+    """The giveaways and the shape of a file."""
     top = header(text)
     parts = path.split("/")
     extension = path.rsplit(".", 1)[-1].lower()
     lines = top.split("\n")
     package_header = _PATCHED.search(top) is not None or any((m := _VERSIONED.match(a)) and (m[1].lower() in packages or _LICENSED.search(b)) and _LICENSED.search(top) for a, b in zip(lines, [*lines[1:], ""], strict=True))
-    give = [_GENERATED.search(top) is not None, package_header, any(p.lower() in packages for p in parts[:-1]), bool(_LOCK_NAME.search(path)), bool(_MIN_NAME.search(path)), bool(_GEN_NAME.search(path))]
+    give = [_GENERATED.search(top) is not None, package_header, any(p.lower() in packages for p in parts[:-1]), bool(_LOCK_NAME.search(path))]
     code = extension not in ("md", "markdown", "rst", "txt")
     bare = _NOISE.sub(" ", text) if code else ""
     tight = len(re.sub(r"\s+", "", bare))
@@ -105,7 +108,7 @@ def evidence(path: str, text: str, packages: frozenset[str]) -> tuple[np.ndarray
 
 
 def label(give: np.ndarray, shape: np.ndarray) -> int:
-    return int(give[:4].any() or shape[3] >= 1 or shape[5] >= 1 or (shape[0] >= 1 and shape[4] > 0.3) or shape[4] > 0.4)
+    return int(give.any() or shape[3] >= 1 or shape[5] >= 1 or (shape[0] >= 1 and shape[4] > 0.3) or shape[4] > 0.4)
 
 
 def hashed(path: str, text: str) -> np.ndarray:
@@ -127,121 +130,113 @@ def hashed(path: str, text: str) -> np.ndarray:
     return out
 
 
-def _vector(path: str, text: str, packages: frozenset[str]) -> tuple[np.ndarray, int, bool]:
-    """All features, the label, and whether the contents alone can show a positive."""
+def _features(path: str, text: str, packages: frozenset[str]) -> tuple[np.ndarray, int]:
+    """The features and the label."""
     give, shape = evidence(path, text, packages)
-    kind = label(give, shape)
-    shown = bool(kind and not (give[1] or give[2]) and not path.lower().endswith(("md", "markdown")))
-    return np.concatenate([hashed(path, text), give, shape]), kind, shown
+    return np.concatenate([hashed(path, text), shape]), label(give, shape)
 
 
-def _packages(packages: DataFrame) -> frozenset[str]:
+def _packages(files: DataFrame, packages: DataFrame) -> frozenset[str]:
     names = packages.select(F.lower("package_name").alias("p")).filter("p is not null").distinct()
     if names.count() > PACKAGES:
-        raise ValueError(f"more than {PACKAGES} packages: raise PACKAGES or match them by a join first")
+        met = F.concat(F.split(F.lower("path"), "/"), F.regexp_extract_all(F.lower("content"), F.lit(r"(?m)^\W*([a-z][\w.-]*)[ @]v?\d+\."), 1))
+        names = materialize(names.join(_files(files).select(F.explode(met).alias("p")).distinct(), "p", "left_semi"))
+        if names.count() > 10 * PACKAGES:
+            raise ValueError(f"more than {10 * PACKAGES} packages are named in the files; raise PACKAGES if the executors can hold them")
     return frozenset(r.p for r in names.collect())
 
 
 def _files(files: DataFrame) -> DataFrame:
     some = files.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("content", F.lit("")).alias("content"))
-    return some.filter("file_id is not null and (length(trim(content)) > 0)").dropDuplicates(["file_id"])
+    return some.filter("file_id is not null and (length(trim(content)) > 0)")
 
 
-def labelled(files: DataFrame, packages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """file_id, repo, path, content, label of a bounded sample, about as many of either label."""
-    known = _packages(packages)
+def _draw(*names: str, salt: int):
+    return F.pmod(F.xxhash64(*names, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def labelled(files: DataFrame, known: frozenset[str], sample: int = SAMPLE, candidates: int = CANDIDATES) -> DataFrame:
+    """label, features, half (of the repositories) of a bounded sample, as many of either label as there are, at most."""
+    some = _files(files)
+    n = some.count()
+    drawn = some.filter(_draw("file_id", salt=11) < candidates / max(n, 1)) if n > candidates else some
+    # rows of one file differ rarely; one of them is learnt
+    drawn = drawn.groupBy("file_id").agg(F.min(F.struct("repo", "path", "content")).alias("f")).select("file_id", "f.*", F.pmod(F.xxhash64("f.repo", F.lit(5)), F.lit(2)).alias("half"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"file_id": b["file_id"], "label": [label(*evidence(p, t, known)) for p, t in zip(b["path"], b["content"], strict=True)]})
-
-    each = materialize(_files(files).mapInPandas(work, "file_id long, label int"))
-    counts = {r.label: r.n for r in each.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    u = F.pmod(F.xxhash64("file_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+            rows = []
+            for i, h, p, t in zip(b["file_id"], b["half"], b["path"], b["content"], strict=True):
+                v, kind = _features(p, t, known)
+                at = np.flatnonzero(v)
+                rows.append((i, kind, f"{2 * h + kind} " + " ".join(f"{k + 1}:{x:.6g}" for k, x in zip(at, v[at], strict=True))))
+            yield pd.DataFrame(rows, columns=["file_id", "kind", "value"])
+
+    each = materialize(drawn.mapInPandas(work, "file_id long, kind int, value string"))
+    counts = {r.kind: r.n for r in each.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
-    for kind, n in counts.items():
-        keep = keep | ((F.col("label") == kind) & (u < min(1.0, sample / n)))
-    return _files(files).join(each.filter(keep), "file_id")
+    for kind, m in counts.items():
+        keep = keep | ((F.col("kind") == kind) & (_draw("file_id", salt=12) < min(1.0, sample / m)))
+    # written as text, the sparse vectors are read back by the JVM
+    path = f"{folder(files.sparkSession)}/{uuid.uuid4().hex}"
+    each.filter(keep).select("value").coalesce(8).write.text(path)
+    rows = files.sparkSession.read.format("libsvm").option("numFeatures", str(SIZE)).load(path) if counts else files.sparkSession.createDataFrame([], StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
+    return rows.select((F.col("label") % 2).alias("label"), "features", F.floor(F.col("label") / 2).alias("half"))
 
 
-@F.udf(VectorUDT())
-def _sparse(v):
-    return SparseVector(SIZE, v.i, v.x)
-
-
-def _train(rows: DataFrame) -> np.ndarray | None:
+def _train(rows: DataFrame):
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
     most = max(counts.values())
     weight = F.when(F.col("label") == 1, F.lit(most / counts[1])).otherwise(F.lit(most / counts[0]))
-    model = LinearSVC(maxIter=40, regParam=2e-4, standardization=False, weightCol="w", aggregationDepth=2).fit(rows.select(F.col("label").cast("double").alias("label"), _sparse("v").alias("features"), weight.alias("w")))
-    return np.append(model.coefficients.toArray(), model.intercept)
+    return LinearSVC(maxIter=40, regParam=2e-4, standardization=False, weightCol="w", aggregationDepth=2).fit(rows.select("label", "features", weight.alias("w")))
 
 
-def fit(sample: DataFrame, packages: DataFrame) -> np.ndarray | None:
+def fit(rows: DataFrame) -> np.ndarray | None:
     """Weights of the features, the intercept last; None where the sample has one label only.
 
     Files without a giveaway are labelled as written by hand, which some are not. So the repositories are split in two,
     either half is judged by a classifier of the other, and what it takes for a positive is no negative in the last fit."""
-    known = _packages(packages)
-
-    @F.udf("array<struct<i: array<int>, x: array<double>>>")
-    def expand(path, text):
-        v, _, shown = _vector(path, text, known)
-        out = [v]
-        if shown:
-            w = v.copy()
-            w[2 * GRAMS + PATHS :][: len(GIVEAWAYS)] = 0
-            out.append(w)
-        return [{"i": np.flatnonzero(w).tolist(), "x": w[np.flatnonzero(w)].tolist()} for w in out]
-
-    half = F.pmod(F.xxhash64("repo", F.lit(5)), F.lit(2)).alias("half")
-    rows = materialize(sample.select("label", half, F.explode(expand("path", "content")).alias("v")))
+    rows = rows.persist()
     clean = rows.filter("label = 1")
     for k in (0, 1):
-        weights = _train(rows.filter(F.col("half") != k))
+        model = _train(rows.filter(F.col("half") != k))
         plain = rows.filter((F.col("label") == 0) & (F.col("half") == k))
-        if weights is not None:
-            shared = rows.sparkSession.sparkContext.broadcast(weights)
-            plain = plain.filter(F.udf(lambda v, w=shared: float(np.dot(w.value[v.i], v.x) + w.value[-1]), "double")("v") <= 0)
-        clean = clean.unionByName(plain)
-    return _train(materialize(clean))
+        clean = clean.unionByName(model.transform(plain).filter("prediction = 0").select(*rows.columns) if model is not None else plain)
+    model = _train(clean)
+    out = None if model is None else np.append(model.coefficients.toArray(), model.intercept)
+    rows.unpersist()
+    return out
 
 
-def scored(files: DataFrame, packages: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """file_id, repo, label, score, bare (the score without giveaways); a score above 0 means not written by hand."""
-    known = _packages(packages)
-    spark = files.sparkSession
-    shared = spark.sparkContext.broadcast(weights)  # SIZE numbers
+def scored(files: DataFrame, known: frozenset[str], weights: np.ndarray | None) -> DataFrame:
+    """file_id, repo, label, score, fitted; a score above 0 means not written by hand."""
+    shared = files.sparkSession.sparkContext.broadcast(weights)  # SIZE numbers
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
         for b in batches:
             rows = []
-            for f, r, p, t in zip(b["file_id"], b["repo"], b["path"], b["content"], strict=True):
-                v, kind, _ = _vector(p, t, known)
-                if w is None:
-                    rows.append((f, r, kind, kind - 0.5, kind - 0.5))
-                    continue
-                full = float(v @ w[:-1] + w[-1])
-                at = slice(2 * GRAMS + PATHS, 2 * GRAMS + PATHS + len(GIVEAWAYS))
-                rows.append((f, r, kind, full, full - float(v[at] @ w[:-1][at])))
-            yield pd.DataFrame(rows, columns=["file_id", "repo", "label", "score", "bare"])
+            for p, t in zip(b["path"], b["content"], strict=True):
+                v, kind = _features(p, t, known)
+                rows.append((kind, kind - 0.5 if w is None else float(v @ w[:-1] + w[-1])))
+            yield b[["file_id", "repo"]].assign(label=[k for k, _ in rows], score=[x for _, x in rows], fitted=w is not None)
 
-    return _files(files).mapInPandas(work, "file_id long, repo string, label int, score double, bare double")
+    return _files(files).mapInPandas(work, "file_id long, repo string, label int, score double, fitted boolean")
 
 
 def not_written(files: DataFrame, packages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """file_id of the files that were made by a tool, minified, copied from a package, or dumped."""
-    weights = fit(labelled(files, packages, sample), packages)
-    return scored(files, packages, weights).filter("score > 0").select("file_id")
+    known = _packages(files, packages)
+    return scored(files, known, fit(labelled(files, known, sample))).filter("score > 0").select("file_id").distinct()
 
 
 def validation(files: DataFrame, packages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """n_files, n_labelled, n_found, n_both with and without giveaways, over repositories that the fit did not see."""
+    """n_files, n_labelled, n_found, n_both, recall over repositories that the fit did not see."""
     held = F.pmod(F.xxhash64(F.coalesce("repo", F.lit(""))), F.lit(5)) == 0
-    weights = fit(labelled(files.filter(~held), packages, sample), packages)
-    s = scored(files.filter(held), packages, weights)
-    both = s.select("label", F.explode(F.array(F.struct(F.lit("all features").alias("features"), "score"), F.struct(F.lit("without giveaways").alias("features"), F.col("bare").alias("score")))).alias("x"))
-    return both.groupBy("x.features").agg(F.count(F.lit(1)).alias("n_files"), F.sum("label").cast("long").alias("n_labelled"), F.count_if(F.col("x.score") > 0).alias("n_found"), F.count_if((F.col("x.score") > 0) & (F.col("label") == 1)).alias("n_both"))
+    known = _packages(files, packages)
+    s = scored(files.filter(held), known, fit(labelled(files.filter(~held), known, sample)))
+    s = s.groupBy("file_id").agg(F.max("label").alias("label"), F.max("score").alias("score"))
+    out = s.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("n_labelled"), F.count_if(F.col("score") > 0).alias("n_found"), F.count_if((F.col("score") > 0) & (F.col("label") == 1)).alias("n_both"))
+    return out.withColumn("recall", F.when(F.col("n_labelled") > 0, F.col("n_both") / F.col("n_labelled")))

@@ -83,7 +83,7 @@ def p10_rates(spark, sf):
 
 
 def p10_limits(spark, sf):
-    return truncation.limits(table(spark, sf, "documents").select("source", "text"))
+    return truncation.limits(truncation.inspected(table(spark, sf, "documents").select("doc_id", "source", "text")))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p4_found, p4_similar, p4_search, p4_recall, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}

@@ -2,6 +2,7 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -152,6 +153,34 @@ def test_similar_cases(spark):
     assert neighbours.mutual(df.limit(0)).count() == 0
 
 
+def test_lists_are_full_and_lengths_apart(spark):
+    x = _clusters(600, 12, 7).astype(np.float32)
+    rows = [("m", f"k{i:04d}", "h", 12, v.tolist()) for i, v in enumerate(x)] + [("m", f"s{i}", "h", 3, [1.0, float(i), 0.5]) for i in range(4)]
+    df = spark.createDataFrame(rows, EMB)
+    n = {}
+    for r in neighbours.similar(df, k=20, block=64).collect():
+        n.setdefault(r.node_key, []).append(r.other_key)
+    assert all(len(v) == (20 if k[0] == "k" else 3) and {o[0] for o in v} == {k[0]} for k, v in n.items()) and len(n) == 604
+
+
+def test_many_copies(spark):
+    """A third of all rows are copies of one vector, and as many are one vector at other lengths."""
+    x = _clusters(300, 12, 8).astype(np.float32)
+    rows = [("m", f"k{i:04d}", "h", 12, v.tolist()) for i, v in enumerate(x)] + [("m", f"c{i:04d}", "h", 12, x[0].tolist()) for i in range(300)] + [("m", f"l{i:04d}", "h", 12, (x[1] * (1 + i / 7)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, EMB)
+    queries = df.select("node_key").filter("substr(node_key, 2) % 10 = 0")
+    found = neighbours.recall(df, queries).first()
+    assert found.n_queries == 90 and found.n_pairs == 450 and found.recall >= 0.9
+    exact = {}
+    for r in neighbours.against_all(df, queries.filter("node_key like 'k%'")).collect():
+        exact.setdefault(r.node_key, []).append(r.cosine)
+    u = np.array([r[4] for r in rows], np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for k, cosines in exact.items():
+        i = int(k[1:])
+        assert np.allclose(sorted(cosines, reverse=True), np.sort(np.delete(u @ u[i], i))[::-1][:5])
+
+
 # --- files not written by hand ---
 
 
@@ -168,8 +197,8 @@ def test_not_written(spark):
     packages = spark.createDataFrame([("quill", "1", "MIT")], "package_name string, latest_version string, license_name string")
     got = {x.file_id for x in notwritten.not_written(files, packages).collect()}
     assert got == {*range(100, 120), *range(200, 220), 300, 301, 302}
-    held = {x.features: x for x in notwritten.validation(files, packages).collect()}
-    assert held["without giveaways"].n_both >= 0.9 * held["without giveaways"].n_labelled
+    held = notwritten.validation(files, packages).first()
+    assert held.n_labelled > 0 and held.recall >= 0.9
     assert notwritten.not_written(files.limit(0), packages.limit(0)).count() == 0
     assert {x.file_id for x in notwritten.not_written(files.filter("file_id < 60"), packages).collect()} == set()
 
@@ -259,13 +288,13 @@ def test_truncated(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {x.doc_id for x in truncation.truncated(df).collect()} == cut | {1000}
     rate = {x.source: x for x in truncation.truncation_rates(df).collect()}
-    assert rate["a"].n_cut == len(cut) and "chars=200" in rate["a"].limits and rate[""].n_cut == 0
+    assert rate["a"].n_cut == len(cut) and rate["a"].n_at_limits > 0.9 * len(cut) and "chars=200" in rate["a"].limits and rate[""].n_cut == 0
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
-def test_lengths(spark):
+def test_lengths():
     text = "é\"&<\n😀\u20ac"
-    m = spark.createDataFrame([(text,)], "t string").select(*[c.alias(k) for k, c in truncation.measures(F.col("t")).items()]).first()
+    m = SimpleNamespace(**dict(zip(truncation.MEASURES, truncation.measured(text), strict=True)))
     assert (m.chars, m.utf8, m.utf16_units) == (len(text), len(text.encode()), len(text.encode("utf-16-le")) // 2)
     import html
     import json
