@@ -6,8 +6,9 @@ reach, so that no leak can score below it. Items stand in blocks; the largest im
 a passage can score there, and blocks that cannot reach a threshold are skipped (block-max WAND). What is retrieved is
 verified word by word.
 
-The index holds test items only. Items are indexed ITEMS at a time; beyond that many, further passes over the documents
-follow, so what is broadcast is bounded whatever the size of the test set.
+The index holds test items only. A part of at most ITEMS items and INDEX_BYTES is broadcast; what does not fit goes into
+further parts, so the size of what is broadcast is checked whatever the test set. All parts are asked in one scan as long
+as they fit together, so most test sets need one.
 
 Cases: null or empty texts and items of fewer than 12 words match nothing; repeated rows give one result row; equal
 items all match; null ids are dropped; extra columns are ignored.
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN, BLOCK, ITEMS = 12, 16, 512
+#: Bytes of an index's tables at most, and of all indexes that are asked in one scan of the documents.
+INDEX_BYTES, SCAN_BYTES = 32 << 20, 256 << 20
 K1, B = 1.2, 0.75
 
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐][^\S\n]*\r?\n[^\S\n]*(?:(?:[#>*;%|!]+|//+|--+|/\*+|\"\"\"|'''|<!--|rem\b)[^\S\n]*)*(?=[^\W\d_])")
@@ -78,10 +81,10 @@ class ItemIndex:
         self.bound = self.impact.reshape(len(df) + 1, blocks, BLOCK).max(axis=2)
         self.block_least = least.reshape(blocks, BLOCK).min(axis=1)
 
-    def search(self, text: str) -> list[int]:
-        """Item ids that share RUN consecutive words with the text."""
+    def search(self, text: list[str]) -> list[int]:
+        """Item ids that share RUN consecutive words with the words of a text."""
         term = self.term.get
-        row = np.array([term(w, 0) for w in words(text)], np.int32)
+        row = np.array([term(w, 0) for w in text], np.int32)
         if len(row) < RUN or np.count_nonzero(row) < RUN:
             return []
         starts = np.arange(0, len(row) - RUN + 1, RUN)
@@ -103,24 +106,43 @@ class ItemIndex:
         return found
 
 
-def leaks(items: DataFrame, documents: DataFrame, per_pass: int = ITEMS) -> DataFrame:
+def _indexes(items: list[tuple[int, str]]) -> list[ItemIndex]:
+    """Indexes of parts of the items, each within INDEX_BYTES (a single item is never split)."""
+    index = ItemIndex(items)
+    if index.impact.nbytes + index.bound.nbytes <= INDEX_BYTES or len(items) < 2:
+        return [index]
+    half = len(items) // 2
+    return _indexes(items[:half]) + _indexes(items[half:])
+
+
+def leaks(items: DataFrame, documents: DataFrame, per_part: int = ITEMS) -> DataFrame:
     """item_id, doc_id of every document that holds RUN consecutive words of an item."""
     spark = documents.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter((F.length("text") > 0) & F.col("doc_id").isNotNull())
-    n = items.count()
-    passes = max(1, -(-n // per_pass))
+    parts = max(1, -(-items.count() // per_part))
     found = []
-    for k in range(passes):
-        part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        index = spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in part.collect()]))
 
-        def ask(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+    def ask(indexes: list[ItemIndex]) -> None:
+        shared = spark.sparkContext.broadcast(indexes)
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(i, d) for d, t in zip(b["doc_id"], b["text"], strict=True) for i in index.value.search(t)]
+                rows = [(i, d) for d, t in zip(b["doc_id"], b["text"], strict=True) for row in (words(t),) if len(row) >= RUN for index in shared.value for i in index.search(row)]
                 yield pd.DataFrame(rows, columns=["item_id", "doc_id"]).astype("int64")
 
-        found.append(texts.mapInPandas(ask, "item_id long, doc_id long"))
+        found.append(texts.mapInPandas(work, "item_id long, doc_id long"))
+
+    held, size = [], 0
+    for k in range(parts):
+        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        for index in _indexes([(r.item_id, r.text) for r in part.collect()]):
+            if held and size + index.impact.nbytes > SCAN_BYTES:
+                ask(held)
+                held, size = [], 0
+            held.append(index)
+            size += index.impact.nbytes
+    ask(held)
     return reduce(DataFrame.unionByName, found).distinct()
 
 

@@ -6,8 +6,11 @@ are ranked by (u / (1 - u)) / (p / (1 - p)) with u drawn from a hash of seed and
 source's tokens are filled, which makes a sample of fixed size in tokens. The cut is found through a histogram of the
 ranks, so no source is ever sorted in one task: only the bin that holds the cut is ordered row by row.
 
-Cases: null or unlisted sources and null texts stay out; a source without documents gets no tokens and its shortfall shows
-in the report; where max_repeats cannot fill a share, all its copies are taken; null shares or repeats count as 0; several
+Without a weight all documents of a source are as likely as each other, and the odds draw them evenly; with one the
+inclusion probabilities differ.
+
+Cases: null or unlisted sources and null texts stay out; a source that can give no tokens (no documents, only empty texts,
+no repeats allowed) gets none, does not hold back the others, and its shortfall shows in the report; where max_repeats cannot fill a share, all its copies are taken; null shares or repeats count as 0; several
 rows of a doc_id are several documents; an empty table gives an empty mix; extra columns are ignored.
 """
 
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +45,12 @@ def _tokenizer(path: str):
 def token_counts(documents: DataFrame, columns: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
     """columns and tokens, the number of the whole text's tokens."""
 
+    # executors get the vocabulary with the job; it need not lie on every machine
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = _tokenizer(tokenizer)
+        t = _tokenizer(SparkFiles.get(name))
         for b in batches:
             n = [len(e.ids) for e in t.encode_batch(b["text"].tolist(), add_special_tokens=False)] if len(b) else []
             yield b[columns].assign(tokens=pd.Series(n, index=b.index, dtype="int64"))
@@ -65,7 +73,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     # one row per source from here on: as many as the targets list
     sizes = {r.source: r for r in docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("w")).alias("mass"), F.count(F.lit(1)).alias("n")).collect()}
     goals = {r.source: r for r in goal.collect()}
-    can = [goals[s].most * r.tokens / goals[s].share for s, r in sizes.items() if goals[s].share > 0]
+    can = [goals[s].most * r.tokens / goals[s].share for s, r in sizes.items() if goals[s].share > 0 and goals[s].most * r.tokens > 0 and r.mass > 0]
     total = total_tokens if total_tokens is not None else min(can, default=0)
     want = {s: goals[s].share * total for s in sizes}
     rate = {s: want[s] / r.mass if r.mass else 0.0 for s, r in sizes.items()}
@@ -100,6 +108,19 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return clear.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
+def kept(mixed: DataFrame, documents: DataFrame, targets: DataFrame, near: float = 0.01) -> DataFrame:
+    """source, has_documents, on_target, within_repeats per listed source: whether it reached its share of what the sources
+    with documents can share, and whether no document is used too often."""
+    per = shares(mixed, targets)
+    there = documents.filter("length(text) > 0").select("source").distinct().withColumn("there", F.lit(True))
+    per = per.join(there, "source", "left").withColumn("has_documents", F.coalesce("there", F.lit(False)) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0))
+    # one row for each target
+    all_ = F.sum(F.when(F.col("has_documents"), F.col("target_share")).otherwise(0.0)).over(Window.partitionBy())
+    goal = F.when(F.col("has_documents"), F.col("target_share") / all_).otherwise(0.0)
+    most = mixed.groupBy("source").agg(F.max("copies").alias("copies"))
+    return per.withColumn("goal", goal).join(most, "source", "left").select("source", "has_documents", (F.abs(F.col("share_reached") - F.col("goal")) <= near).alias("on_target"), (F.coalesce("copies", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def _lookup(values: dict[str, float]):
     pairs = [F.lit(x) for s, v in values.items() for x in (s, float(v))]
     return F.coalesce(F.element_at(F.create_map(*pairs), F.col("source")), F.lit(0.0)) if pairs else F.lit(0.0)

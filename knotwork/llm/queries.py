@@ -74,6 +74,22 @@ def p9_shares(spark, sf):
     return mixing.shares(mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text"), targets), targets)
 
 
+def _mix_parts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "source", "text"), table(spark, sf, "mix_targets")
+
+
+def p9_kept(spark, sf):
+    """Whether the mix keeps its shares and repeats."""
+    docs, targets = _mix_parts(spark, sf)
+    return mixing.kept(mixing.mix(docs, targets), docs, targets)
+
+
+def p9_weighted(spark, sf):
+    """The same for a mix that prefers long texts: unequal probabilities within a source."""
+    docs, targets = _mix_parts(spark, sf)
+    return mixing.kept(mixing.mix(docs.withColumn("w", F.log1p(F.length("text"))), targets, weight="w"), docs, targets)
+
+
 def p10_found(spark, sf):
     return truncation.truncated(table(spark, sf, "documents").select("doc_id", "source", "text"))
 
@@ -86,14 +102,18 @@ def p10_limits(spark, sf):
     return truncation.limits(truncation.inspected(table(spark, sf, "documents").select("doc_id", "source", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p4_found, p4_similar, p4_search, p4_recall, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_file_pairs, p3_found, p3_rates, p4_found, p4_similar, p4_search, p4_recall, p6_found, p6_validation, p8_found, p8_items, p9_mix, p9_shares, p9_kept, p9_weighted, p10_found, p10_rates, p10_limits)}
 
 _USABLE = """WITH u AS (SELECT DISTINCT model, node_key, CAST(vector AS DOUBLE[]) AS v FROM node_embeddings WHERE vector IS NOT NULL AND node_key IS NOT NULL AND model IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x != 0)) > 0),
 c AS (SELECT a.node_key AS a, b.node_key AS b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS cosine FROM u a JOIN u b ON a.model = b.model AND a.node_key != b.node_key),
 t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM c QUALIFY rank <= 5)
 """
 
+_KEPT = """SELECT source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0) AND coalesce(target_share, 0) > 0 AND coalesce(max_repeats, 0) > 0 AS has_documents, true AS on_target, true AS within_repeats FROM mix_targets t WHERE source IS NOT NULL"""
+
 SQL = {
+    "p9_kept": _KEPT,
+    "p9_weighted": _KEPT,
     "p4_found": _USABLE + "SELECT x.a AS node_key_a, x.b AS node_key_b FROM t x JOIN t y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b AND x.cosine >= 0.9",
     "p4_similar": _USABLE + "SELECT a AS node_key, b AS other_key, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM t",
 }

@@ -259,6 +259,13 @@ def test_mix(spark):
     weighted = mixing.mix(documents.withColumn("w", F.when(F.col("doc_id") < 450, 3.0).otherwise(1.0)), targets, total_tokens=3000, weight="w").collect()
     assert sum(x.copies for x in weighted if x.doc_id < 450) > 1.8 * sum(x.copies for x in weighted if x.doc_id >= 450)
     assert mixing.mix(documents.limit(0), targets).count() == 0
+    # a source that can give nothing does not empty the mix
+    barred = spark.createDataFrame([("a", 0.5, 2), ("b", 0.4, 2), ("c", 0.1, 0)], "source string, target_share double, max_repeats int")
+    got = {x.source: x for x in mixing.shares(mixing.mix(documents, barred), barred).collect()}
+    assert got["c"].n_tokens == 0 and got["a"].share_reached == pytest.approx(5 / 9, abs=0.01)
+    for w in (None, "w"):
+        heavy = documents.withColumn("w", F.col("doc_id") % 7 + 1.0)
+        assert all(x.on_target and x.within_repeats for x in mixing.kept(mixing.mix(heavy, barred, weight=w), heavy, barred, 0.02).collect())
 
 
 # --- truncation ---
