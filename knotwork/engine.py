@@ -192,16 +192,8 @@ class Engine:
 
     def find(self, symbol: str) -> DataFrame:
         """The nodes a symbol may mean, the best first: `path:line`, qualified name, name, end of a qualified name."""
-        c, n = F.col, self.nodes.filter("type != 'memory'")
-        path, _, line = symbol.strip().rpartition(":")
-        tiers = [n.filter((c("file_path") == path) & c("start_line").isNotNull() & (c("start_line") <= int(line)) & (c("end_line") >= int(line))).withColumn("tier", F.lit(0)).withColumn("size", c("end_line") - c("start_line"))] if path and line.isdigit() else []
-        s = symbol.strip()
-        tiers += [n.filter(cond).withColumn("tier", F.lit(i)).withColumn("size", F.lit(0)) for i, cond in ((1, c("qualname") == s), (2, c("name") == s), (3, c("qualname").endswith("." + s)))]
-        every = tiers[0]
-        for t in tiers[1:]:
-            every = every.unionByName(t)
-        best = every.join(F.broadcast(every.agg(F.min("tier").alias("tier"))), "tier")
-        return best.orderBy("size", (c("type") == "test"), (c("type") == "module") & F.lit("." not in s), F.desc("importance"), "key").drop("tier", "size")
+        found = link.find_symbols(self.spark.createDataFrame([(symbol,)], "symbol string"), self.nodes)
+        return self.nodes.join(found.select("key", "place"), "key").orderBy("place").drop("place")
 
     def expand(self, symbol: str, source: bool = False) -> str:
         """A symbol's definition, its neighbours by label, its notes, and its source if asked for."""

@@ -252,3 +252,25 @@ def tested_by_name(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     tests = modules.filter(is_test_path(F.col("file_path"))).select("repo", F.regexp_replace(F.regexp_replace(base, "^test_", ""), "_test$", "").alias("stem"), F.col("key").alias("target_key"))
     found = tests.join(plain, ["repo", "stem"]).select("repo", "source_key", "target_key", F.lit("tested_by").alias("relation"), F.lit("low").alias("confidence"))
     return found.join(edges.filter("relation = 'tested_by'").select("repo", "source_key", "target_key"), ["repo", "source_key", "target_key"], "left_anti")
+
+
+def find_symbols(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """symbol, key, tier, place, n: the nodes that each asked symbol may mean, the best first, and how many there are.
+
+    A symbol is `path:line` (tier 0), a qualified name (1), a name (2) or the end of a qualified name (3); only the first
+    tier that finds something counts. asked: symbol; nodes: key, type, name, qualname, file_path, start_line, end_line,
+    importance. Case and wildcards are taken as they stand; null and blank symbols find nothing."""
+    c = F.col
+    asked = asked.select(F.trim("symbol").alias("symbol")).filter("symbol != ''").distinct()
+    n = nodes.filter(F.coalesce("type", F.lit("")) != "memory").select("key", "type", "name", "qualname", "file_path", "start_line", "end_line", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    at = asked.select("symbol", F.regexp_extract("symbol", r"^(.+):(\d{1,9})$", 1).alias("file_path"), F.regexp_extract("symbol", r"^(.+):(\d{1,9})$", 2).try_cast("int").alias("line")).filter("line is not null")
+    lines = at.join(n, "file_path").filter("start_line <= line and end_line >= line").select("symbol", "key", "type", "importance", F.lit(0).alias("tier"), (c("end_line") - c("start_line")).alias("size"))
+    p = _parts(c("qualname"))
+    ends = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.struct(F.when(i == 1, 1).otherwise(3).alias("tier"), F.array_join(F.slice(p, i, F.size(p)), ".").alias("symbol")))
+    names = n.select("key", "type", "importance", F.explode(F.concat(ends, F.array(F.struct(F.lit(2).alias("tier"), c("name").alias("symbol"))))).alias("x")).select("x.symbol", "key", "type", "importance", "x.tier", F.lit(0).alias("size"))
+    every = lines.unionByName(names.join(asked, "symbol", "left_semi")).groupBy("symbol", "key").agg(F.min("tier").alias("tier"), F.min("size").alias("size"), F.first("type").alias("type"), F.first("importance").alias("importance"))
+    best = every.groupBy("symbol").agg(F.min("tier").alias("tier"))
+    found = materialize(every.join(best, ["symbol", "tier"]))
+    counts = found.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("symbol").orderBy("size", F.coalesce(c("type") == "test", F.lit(False)), F.coalesce(c("type") == "module", F.lit(False)) & ~c("symbol").contains("."), F.desc("importance"), "key")
+    return found.withColumn("place", F.row_number().over(order)).join(counts, "symbol").select("symbol", "key", "tier", "place", "n")

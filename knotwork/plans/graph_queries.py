@@ -91,6 +91,29 @@ def find_by_suffix(spark, sf):
     return asked.join(ends, "suffix").groupBy("suffix").agg(F.count(F.lit(1)).alias("n_nodes"), F.min_by("id", F.struct(-F.coalesce("importance", F.lit(0.0)), "id")).alias("best_id"))
 
 
+def find_symbols(spark, sf):
+    """The symbols that notes list, every class by the last two parts of its name, and the line at which every method begins."""
+    n = _nodes(spark, sf)
+    p = F.split("qualname", r"\.")
+    asked = table(spark, sf, "memories").select(F.explode("symbols").alias("symbol"))
+    asked = asked.unionByName(n.filter("type = 'class'").select(F.array_join(F.slice(p, F.greatest(F.size(p) - 1, F.lit(1)), 2), ".").alias("symbol")))
+    asked = asked.unionByName(n.filter("type = 'method' and start_line is not null").select(F.concat("file_path", F.lit(":"), F.col("start_line").cast("string")).alias("symbol")))
+    return link.find_symbols(asked, n).filter("place = 1").select("symbol", "key", "tier", "n")
+
+
+def inherited_methods(spark, sf):
+    """Every class's methods by name, its own before those of its bases in depth-first order."""
+    n = _nodes(spark, sf)
+    text = lambda c: F.col(c).cast("string")
+    nodes = n.select("repo", text("id").alias("key"), "type", "name", "qualname", "file_path", "start_line", text("parent_id").alias("parent_key"))
+    classes = n.filter("type = 'class'").select(text("id").alias("id"), F.coalesce("repo", F.lit("")).alias("repo"))
+    up = _edges(spark, sf).filter("relation = 'inherits'").select(text("source").alias("class_key"), text("target").alias("base_key")).distinct()
+    up = up.join(classes.select(F.col("id").alias("class_key"), "repo"), "class_key").join(classes.select(F.col("id").alias("base_key")), "base_key", "left_semi")
+    bases = up.withColumn("place", F.row_number().over(Window.partitionBy("class_key").orderBy("base_key")))
+    refs = spark.createDataFrame([], f"repo string, file_path string, {parse.REF}")
+    return link.Names(nodes, refs).methods(bases).select(F.col("class_key").cast("long").alias("class_id"), "name", F.col("method_key").cast("long").alias("method_id"))
+
+
 def edges_tidy(spark, sf):
     return _edges(spark, sf)
 
@@ -259,6 +282,25 @@ def hybrid_ranking(spark, sf):
     return search.hybrid_score(cand).select("query_id", F.col("doc").alias("id"), F.round("score", 6).alias("score"))
 
 
+def semantic_ranking(spark, sf):
+    """Nodes whose id is divisible by 50 as questions: vectors and names found apart, fused, and scored with similarity."""
+    c = F.col
+    n = _nodes(spark, sf)
+    e = table(spark, sf, "node_embeddings").filter("vector is not null and size(vector) = dim and not exists(vector, x -> isnan(x) or x is null) and exists(vector, x -> x != 0)")
+    e = e.groupBy("node_key", "model").agg(F.min("vector").alias("vector")).join(n.select(c("key").alias("node_key"), "id"), "node_key")
+    vectors = materialize(e.select(c("id").alias("doc"), c("model").alias("space"), "vector"))
+    asked = vectors.filter("doc % 50 = 0").select(c("doc").cast("string").alias("query_id"), "space", c("vector").alias("asked"))
+    near = materialize(search.vector_search(vectors, asked))
+    # the same file's nodes by importance stand for what a text search brings
+    mine = asked.select("query_id").join(n.select(c("id").cast("string").alias("query_id"), "repo", "file_path"), "query_id")
+    beside = mine.join(n.select("repo", "file_path", c("id").alias("doc"), F.coalesce("importance", F.lit(0.0)).alias("score")), ["repo", "file_path"])
+    found = search.fuse([near, search.ranked(beside, search.HITS)])
+    facts = n.select(c("id").alias("doc"), "type", "file_path", "importance")
+    cand = found.join(facts, "doc").join(search.spread(near).withColumnRenamed("score", "similarity"), ["query_id", "doc"], "left")
+    cand = cand.withColumn("proximity", c("relevance")).withColumn("memory", F.lit(0.0))
+    return search.hybrid_score(cand).select(c("query_id").cast("long").alias("query_id"), c("doc").alias("id"), F.round("score", 4).alias("score"))
+
+
 def note_log(spark, sf):
     """The log of notes folded in the order of arrival."""
     log = table(spark, sf, "memories").filter("uid is not null and uid != ''").select(F.col("log_pos").alias("pos"), "uid", "topic", "deleted")
@@ -365,8 +407,8 @@ def stream_note_log(spark, sf):
 
 
 _ALL = (
-    file_manifest, manifest_changes, path_flags, identifiers, question_terms, sentences, labels, embedding_texts, find_by_suffix, edges_tidy, adjacency, label_groups, contains_parents, unique_names, pick_candidates, path_suffixes,
-    derived_tests, tests_by_name, counts, neighbour_names, module_centrality, pagerank, expand_two_hops, expand_best_first, bm25_documents, bm25_nodes, bm25_nodes_stemmed, cosine_top, cosine_spread, fused_search, hybrid_ranking,
+    file_manifest, manifest_changes, path_flags, identifiers, question_terms, sentences, labels, embedding_texts, find_by_suffix, find_symbols, inherited_methods, edges_tidy, adjacency, label_groups, contains_parents, unique_names, pick_candidates, path_suffixes,
+    derived_tests, tests_by_name, counts, neighbour_names, module_centrality, pagerank, expand_two_hops, expand_best_first, bm25_documents, bm25_nodes, bm25_nodes_stemmed, cosine_top, cosine_spread, fused_search, hybrid_ranking, semantic_ranking,
     note_log, stream_note_log, retrieval, briefings, note_stale, note_targets, node_summaries, pack_prefix, pack_first_fit, repo_maps, parsed_nodes, parsed_references, linked_edges,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -71,6 +71,30 @@ s{name} AS (SELECT query_id, p.doc, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.7
 hits{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s{name} QUALIFY rank <= {k})"""
 
 
+def _members(name: str, pairs: str, most: int) -> str:
+    """CTE name(owner, names) of pairs(owner, label, w, tie): the most important labels, each once, and how many are left out."""
+    return f"""{name}_p AS (SELECT owner, label, max(w) AS w, arg_min(tie, (-w, tie)) AS tie FROM ({pairs}) GROUP BY ALL),
+ {name}_r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY w DESC, tie, label) AS k, count(*) OVER (PARTITION BY owner) AS total FROM {name}_p),
+ {name} AS (SELECT owner, string_agg(label, ', ' ORDER BY k) || CASE WHEN any_value(total) > {most} THEN ' (+' || (any_value(total) - {most}) || ')' ELSE '' END AS names FROM {name}_r WHERE k <= {most} GROUP BY owner)"""
+
+
+def _summaries() -> str:
+    down = "SELECT s.key AS owner, l.label, l.w, l.key AS tie FROM pairs p JOIN l ON l.id = p.target JOIN n s ON s.id = p.source WHERE "
+    held = "p.relation = 'contains' AND coalesce(l.is_public, false) AND "
+    doc = f"nullif({_sentence('docstring', 200)}, '')"
+    sig = "coalesce(nullif(signature, ''), name)"
+    part = lambda head, t: f"CASE WHEN {t}.names IS NOT NULL THEN '{head}' || {t}.names || '.' END"
+    return f"""{NE}, l AS (SELECT id, key, type, name, is_public, {_LABEL} AS label, coalesce(importance, 0) AS w FROM n), pairs AS (SELECT DISTINCT source, target, relation FROM e WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)),
+ {_members('defines', down + held + "l.type IN ('class', 'function')", 8)}, {_members('methods', down + held + "l.type IN ('method', 'function', 'test') AND NOT starts_with(l.name, '__')", 8)},
+ {_members('called', down + "p.relation = 'calls'", 5)}, {_members('callers', "SELECT t.key AS owner, l.label, l.w, l.key AS tie FROM pairs p JOIN l ON l.id = p.source JOIN n t ON t.id = p.target WHERE p.relation = 'calls'", 4)},
+ x AS (SELECT n.key, CASE n.type WHEN 'memory' THEN coalesce(docstring, '') WHEN 'module' THEN concat_ws(' ', 'Module ' || qualname || '.', {doc}, {part('Defines: ', 'defines')})
+  WHEN 'class' THEN concat_ws(' ', coalesce(nullif(signature, ''), 'class ' || name) || '.', {doc}, {part('Methods: ', 'methods')}, {part('Used by: ', 'callers')})
+  WHEN 'documentation' THEN concat_ws(' ', 'Docs ' || chr(39) || name || chr(39) || ' (' || file_path || ').', CASE WHEN length(docstring) > 0 THEN {_sentence('docstring', 240)} END)
+  ELSE CASE WHEN n.type IN ('function', 'method', 'test') THEN concat_ws(' ', CASE WHEN ends_with({sig}, '.') THEN {sig} ELSE {sig} || '.' END, {doc}, {part('Calls: ', 'called')}, {part('Called by: ', 'callers')}) ELSE concat_ws(' ', name, {doc}) END END AS t
+  FROM n LEFT JOIN defines ON defines.owner = n.key LEFT JOIN methods ON methods.owner = n.key LEFT JOIN called ON called.owner = n.key LEFT JOIN callers ON callers.owner = n.key)
+ SELECT key, CASE WHEN length(t) > 300 THEN substr(t, 1, 299) || '…' ELSE t END AS summary FROM x"""
+
+
 def _pagerank() -> str:
     steps = [f"r0 AS MATERIALIZED (SELECT id AS node, 1.0 / (SELECT count(*) FROM n) AS rank FROM n)"]  # noqa: F541
     for i in range(ITERATIONS):
@@ -114,6 +138,30 @@ folded AS (SELECT l.*, p.place FROM place p JOIN log l ON l.uid = p.uid AND l.lo
  SELECT id, sha1(CASE WHEN type = 'documentation' THEN concat_ws(chr(10), 'documentation ' || name, coalesce(file_path, ''), coalesce(docstring, '')) ELSE regexp_replace(concat_ws(chr(10), type || ' ' || qualname, coalesce(file_path, ''), coalesce(signature, ''), coalesce(docstring, '')), '^\s+|\s+$', '', 'g') END) AS text_hash
  FROM k WHERE NOT (starts_with(name, '__') AND ends_with(name, '__') AND type = 'method' AND bare) AND NOT (type IN ('function', 'method') AND NOT coalesce(is_public, true) AND bare AND coalesce(end_line, 0) - coalesce(start_line, 0) < 8)""",
         "find_by_suffix": f"WITH {N}, s AS (SELECT id, type, importance, array_to_string({_PARTS}[-2:], '.') AS suffix FROM n WHERE len({_PARTS}) >= 2) SELECT suffix, count(*) AS n_nodes, arg_min(id, (-coalesce(importance, 0), id)) AS best_id FROM s WHERE suffix IN (SELECT suffix FROM s WHERE type = 'method') GROUP BY suffix",
+        "find_symbols": rf"""WITH {N}, asked AS (SELECT DISTINCT trim(s) AS symbol FROM (SELECT unnest(symbols) AS s FROM memories UNION ALL SELECT array_to_string({_PARTS}[-2:], '.') FROM n WHERE type = 'class' UNION ALL SELECT file_path || ':' || start_line FROM n WHERE type = 'method' AND start_line IS NOT NULL) WHERE trim(s) != ''),
+ hit AS (SELECT a.symbol, n.id, 0 AS tier, n.end_line - n.start_line AS size FROM (SELECT symbol, regexp_extract(symbol, '^(.+):(\d{{1,9}})$', 1) AS path, TRY_CAST(regexp_extract(symbol, '^(.+):(\d{{1,9}})$', 2) AS INTEGER) AS line FROM asked) a JOIN n ON n.file_path = a.path AND a.line BETWEEN n.start_line AND n.end_line
+  UNION ALL SELECT a.symbol, n.id, 1, 0 FROM asked a JOIN n ON n.qualname = a.symbol UNION ALL SELECT a.symbol, n.id, 2, 0 FROM asked a JOIN n ON n.name = a.symbol UNION ALL SELECT a.symbol, n.id, 3, 0 FROM asked a JOIN n ON ends_with(n.qualname, '.' || a.symbol)),
+ each_ AS (SELECT symbol, id, min(tier) AS tier, min(size) AS size FROM hit GROUP BY ALL), first AS (SELECT * FROM each_ QUALIFY tier = min(tier) OVER (PARTITION BY symbol))
+ SELECT f.symbol, n.key, f.tier, count(*) OVER (PARTITION BY f.symbol) AS n FROM first f JOIN n ON n.id = f.id WHERE coalesce(n.type, '') != 'memory' QUALIFY row_number() OVER (PARTITION BY f.symbol ORDER BY f.size, coalesce(n.type = 'test', false), coalesce(n.type = 'module', false) AND NOT contains(f.symbol, '.'), coalesce(n.importance, 0) DESC, n.key) = 1""",
+        "inherited_methods": f"""WITH RECURSIVE {N}, {E}, k AS (SELECT id, coalesce(repo, '') AS repo FROM n WHERE type = 'class'), up AS (SELECT k.repo, e.source AS c, e.target AS b, row_number() OVER (PARTITION BY e.source ORDER BY CAST(e.target AS VARCHAR)) AS place FROM e JOIN k ON k.id = e.source JOIN k kb ON kb.id = e.target WHERE relation = 'inherits'),
+ line AS (SELECT repo, id AS c, id AS x, [0] AS path FROM k UNION ALL SELECT l.repo, l.c, up.b, list_append(l.path, CAST(up.place AS INTEGER)) FROM line l JOIN up ON up.c = l.x AND up.repo = l.repo WHERE len(l.path) <= 5),
+ child AS (SELECT coalesce(repo, '') AS repo, parent_id AS x, name, id FROM n WHERE type IN {linkable} AND parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY coalesce(repo, ''), parent_id, name ORDER BY start_line DESC NULLS LAST, CAST(id AS VARCHAR) DESC) = 1)
+ SELECT l.c AS class_id, h.name, h.id AS method_id FROM line l JOIN child h ON h.repo = l.repo AND h.x = l.x QUALIFY row_number() OVER (PARTITION BY l.c, h.name ORDER BY l.path, CAST(h.id AS VARCHAR)) = 1""",
+        "semantic_ranking": f"""WITH {N}, v AS (SELECT n.id, model, min(vector) AS v FROM node_embeddings JOIN n ON n.key = node_key WHERE vector IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x != 0)) > 0 GROUP BY ALL), w AS (SELECT id, model, CAST(v AS DOUBLE[]) AS v FROM v),
+ near AS (SELECT a.id AS q, b.id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s, row_number() OVER (PARTITION BY a.id ORDER BY s DESC, b.id) AS rank FROM w a JOIN w b ON a.model = b.model AND len(a.v) = len(b.v) WHERE a.id % 50 = 0 QUALIFY rank <= {HITS}),
+ beside AS (SELECT DISTINCT a.id AS q, b.id, b.importance FROM w JOIN n a ON a.id = w.id JOIN n b ON b.repo = a.repo AND b.file_path = a.file_path WHERE a.id % 50 = 0), text AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY coalesce(importance, 0) DESC, id) AS rank FROM beside QUALIFY rank <= {HITS}),
+ fused AS (SELECT q, id, sum(1.0::DOUBLE / (20 + rank)) AS s FROM (SELECT q, id, rank FROM near UNION ALL SELECT q, id, rank FROM text) GROUP BY ALL), rel AS (SELECT q, id, s / max(s) OVER (PARTITION BY q) AS rel FROM fused),
+ sim AS (SELECT q, id, (s - min(s) OVER w) / coalesce(nullif(max(s) OVER w - min(s) OVER w, 0), 1) AS sim FROM near WINDOW w AS (PARTITION BY q)),
+ z AS (SELECT r.q, r.id, (0.55 * (0.6 * rel + 0.4 * coalesce(sim, 0)) + 0.25 * rel + 0.10 * coalesce(importance, 0)) * CASE type WHEN 'test' THEN 0.75 WHEN 'file' THEN 0.6 WHEN 'module' THEN 0.9 ELSE 1.0 END
+  * CASE WHEN coalesce(type, '') IN ('test', 'documentation') THEN 1.0 WHEN {_TEST.format('file_path')} THEN 0.7 WHEN regexp_matches(coalesce(file_path, ''), '{SIDE_PATH}') THEN 0.8 ELSE 1.0 END AS score FROM rel r LEFT JOIN sim USING (q, id) JOIN n ON n.id = r.id)
+ SELECT q AS query_id, id, round(score, 4) AS score FROM z QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) <= {RANKED}""",
+        "note_targets": f"""WITH {N}, {fold}, l AS (SELECT key, qualname, name, {_PARTS} AS a FROM n WHERE type IN {linkable}),
+ named AS (SELECT 0 AS tier, qualname AS s, key, qualname FROM l UNION ALL SELECT 1, array_to_string(a[i:], '.'), key, qualname FROM (SELECT *, unnest(range(2, len(a))) AS i FROM l) UNION ALL SELECT 2, name, key, qualname FROM l),
+ best AS (SELECT * FROM named QUALIFY tier = min(tier) OVER (PARTITION BY s)), one AS (SELECT s, arg_min(key, (length(qualname), key)) AS key FROM best GROUP BY s HAVING min(tier) < 2 OR count(*) = 1),
+ listed AS (SELECT uid, unnest(symbols) AS s FROM folded), w AS (SELECT uid, unnest(files) AS f, regexp_extract_all(concat_ws(' ', content, topic), '[A-Za-z_][A-Za-z0-9_]{{3,}}') AS words FROM folded),
+ here AS (SELECT w.uid, w.f, n.key, n.type IN ('module', 'file') AS whole, list_contains(words, n.name) AS said FROM w JOIN n ON n.file_path = w.f WHERE n.type IS NOT NULL), inside AS (SELECT * FROM here WHERE NOT whole AND said)
+ SELECT uid, one.key FROM listed JOIN one USING (s) UNION SELECT uid, key FROM inside UNION SELECT uid, key FROM here h WHERE whole AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.uid = h.uid AND i.f = h.f)""",
+        "node_summaries": _summaries(),
         "edges_tidy": f"WITH {E} SELECT * FROM e",
         "adjacency": f"WITH {E}, {BOTH} SELECT node, arrow, relation, count(*) AS n, count(*) FILTER (confidence = 'low') AS n_low FROM b GROUP BY ALL",
         "label_groups": f"""{NE}, {BOTH}, {users}, g AS (SELECT node, other, CASE WHEN arrow = '→' THEN {_case('relation', LABELS_OUT, 'NULL')} ELSE {_case('relation', LABELS_IN, 'NULL')} END AS label, CASE WHEN confidence = 'low' THEN '~' ELSE '' END AS mark FROM b UNION ALL SELECT node, other, 'USED BY (via methods)', CASE WHEN confidence = 'low' THEN '~' ELSE '' END FROM u)
