@@ -22,9 +22,11 @@ from knotwork.functions import text as X
 from knotwork.operators import graph, link, notes, pack, parse, retrieve, search, summaries
 from knotwork.session import materialize, ship
 from knotwork.sources import repos
-from knotwork.sources.snapshots import SnapshotStore, embeddings_due, upsert_embeddings
+from knotwork.sources.snapshots import Folder, SnapshotStore, embeddings_due, upsert_embeddings
 
-VERSION = "1"
+VERSION = "2"
+#: The file of the note log.
+LOG = "notes.jsonl"
 _NODES = f"repo string, {parse.NODE}"
 _REFS = f"repo string, {parse.REF.replace('src_key', 'file_path string, src_key')}"
 _FILES = "path string, language string, content string, content_hash string, size_bytes long"
@@ -46,9 +48,9 @@ class Engine:
 
     def __init__(self, spark: SparkSession, index_dir: str | Path, embedder: tuple[str, Callable] | None = None):
         ship(spark)
-        self.spark, self.dir, self.embedder = spark, Path(index_dir), embedder
-        self.store = SnapshotStore(spark, self.dir / "tables")
-        self.log_path = self.dir / "notes.jsonl"
+        self.spark, self.embedder = spark, embedder
+        self.store = SnapshotStore(spark, f"{index_dir}/tables")
+        self.log = Folder(spark, str(index_dir))
 
     # --- writing ---
 
@@ -83,7 +85,7 @@ class Engine:
 
     def _relink(self, log_hash: str) -> None:
         code = self.store.read("parsed_nodes")
-        log = notes.fold(notes.read_log(self.spark, str(self.log_path))) if self.log_path.exists() else self.spark.createDataFrame([], f"pos long, {notes.LOG}, place long")
+        log = notes.fold(notes.read_log(self.spark, self.log.at(LOG))) if self.log.read(LOG) is not None else self.spark.createDataFrame([], f"pos long, {notes.LOG}, place long")
         log = materialize(log.filter("text is not null"))
         kept = log.withColumn("content", F.col("text"))
         old = notes.stale(kept, code)
@@ -124,13 +126,13 @@ class Engine:
         self._append({"uid": uid, "deleted": True})
 
     def _append(self, record: dict) -> None:
-        self.dir.mkdir(parents=True, exist_ok=True)
-        with self.log_path.open("a") as f:
-            f.write(json.dumps(record, ensure_ascii=False) + "\n")
+        line = json.dumps(record, ensure_ascii=False) + "\n"
+        self.log.write(LOG, (self.log.read(LOG) or b"") + line.encode())
         self._relink(self._log_hash())
 
     def _log_hash(self) -> str:
-        return hashlib.sha1(self.log_path.read_bytes()).hexdigest() if self.log_path.exists() else ""
+        data = self.log.read(LOG)
+        return hashlib.sha1(data).hexdigest() if data is not None else ""
 
     # --- reading ---
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Window
@@ -11,10 +10,9 @@ from pyspark.sql import functions as F
 from knotwork.functions import text as X
 from knotwork.operators import graph, link, notes, pack, parse, retrieve, search, summaries
 from knotwork.plans import graph_sql
-from knotwork.session import materialize, shared_dir, table
+from knotwork.session import folder, materialize, table
 from knotwork.sources.repos import IGNORE, manifest_diff
-from knotwork.sources.snapshots import SnapshotStore
-from knotwork.streaming.logs import fold_stream, latest_states
+from knotwork.streaming.logs import fold_stream, last_state, latest_states
 
 #: The questions that the searches ask.
 QUESTIONS = [("q1", "where is the snapshot cache flushed when the parser fails"), ("q2", "merge ledger tokens"), ("q3", "RankerJournal publish worker"), ("q4", "why does the scheduler retry a stale lease")]
@@ -396,14 +394,16 @@ def briefings(spark, sf):
 
 
 def stream_note_log(spark, sf):
-    """The last state of every note, folded from a file stream of the log."""
-    path = f"{sf}/memories.parquet"
-    source = table(spark, sf, "memories")
-    stream = spark.readStream.schema(source.schema).parquet(path if os.path.isdir(path) else f"{path}*").select("log_pos", "uid", "topic", "deleted").filter("uid is not null and uid != ''")
-    base = f"{shared_dir(spark).removeprefix('file://')}/stream-{uuid.uuid4().hex}"
-    store = SnapshotStore(spark, f"{base}/tables")
-    fold_stream(stream, store, "notes", latest_states("uid", "log_pos"), f"{base}/checkpoint").awaitTermination()
-    return store.read("notes", "log_pos long, uid string, topic string, deleted boolean").filter("not coalesce(deleted, false)").select("uid", "log_pos", "topic")
+    """The last state of every note, folded from a stream of the log's files, one file a micro-batch."""
+    base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    log = table(spark, sf, "memories").select("log_pos", "uid", "topic", "deleted").filter("uid is not null and uid != ''")
+    # the log as it would arrive: in several files, not in order
+    log.repartition(4, F.xxhash64("log_pos")).write.parquet(f"{base}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
+    fold_stream(stream, latest_states("uid", "log_pos"), f"{base}/states", f"{base}/checkpoint").awaitTermination()
+    state = last_state(spark, f"{base}/states")
+    state = state if state is not None else spark.createDataFrame([], log.schema)
+    return state.filter("not coalesce(deleted, false)").select("uid", "log_pos", "topic")
 
 
 _ALL = (
