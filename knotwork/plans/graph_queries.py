@@ -363,7 +363,7 @@ def linked_edges(spark, sf):
     return link.link(parse.nodes_of(parsed), parse.refs_of(parsed))
 
 
-def _answer(spark, sf):
+def _answer(spark, sf, stem=True):
     n = _nodes(spark, sf).withColumn("file_path", F.concat_ws("/", "repo", "file_path"))
     keys = n.select("id", "key")
     parents = keys.select(F.col("id").alias("parent_id"), F.col("key").alias("parent_key"))
@@ -374,8 +374,8 @@ def _answer(spark, sf):
     log = table(spark, sf, "memories").filter("uid is not null and uid != ''").select(F.col("log_pos").alias("pos"), "uid", "topic", "content", "files", "symbols", "anchors", "deleted")
     kept = materialize(notes.fold(log).filter("content is not null"))
     about = materialize(notes.about(kept, _nodes(spark, sf).select("key", "type", "name", "qualname", "file_path")))
-    index = search.TextIndex(summaries.index_documents(n), "key", search.NODE_FIELDS, stem=True)
-    note_index = search.TextIndex(kept, "uid", search.NOTE_FIELDS, stem=True)
+    index = search.TextIndex(summaries.index_documents(n), "key", search.NODE_FIELDS, stem=stem)
+    note_index = search.TextIndex(kept, "uid", search.NOTE_FIELDS, stem=stem)
     return n, e, kept, retrieve.retrieve(_questions(spark), n, e, index, kept, note_index, about)
 
 
@@ -384,6 +384,12 @@ def retrieval(spark, sf):
     return _answer(spark, sf)[3].ranked
 
 
+def retrieval_plain(spark, sf):
+    """The same over words as they stand, without stems."""
+    best = _answer(spark, sf, stem=False)[3].ranked
+    return best.select("query_id", "key", F.round("score", 5).alias("score"), F.round("relevance", 5).alias("relevance"), "via")
+
+
 def briefings(spark, sf):
     """The answers packed into 3000 tokens each."""
     n, e, kept, answer = _answer(spark, sf)
@@ -409,7 +415,7 @@ def stream_note_log(spark, sf):
 _ALL = (
     file_manifest, manifest_changes, path_flags, identifiers, question_terms, sentences, labels, embedding_texts, find_by_suffix, find_symbols, inherited_methods, edges_tidy, adjacency, label_groups, contains_parents, unique_names, pick_candidates, path_suffixes,
     derived_tests, tests_by_name, counts, neighbour_names, module_centrality, pagerank, expand_two_hops, expand_best_first, bm25_documents, bm25_nodes, bm25_nodes_stemmed, cosine_top, cosine_spread, fused_search, hybrid_ranking, semantic_ranking,
-    note_log, stream_note_log, retrieval, briefings, note_stale, note_targets, node_summaries, pack_prefix, pack_first_fit, repo_maps, parsed_nodes, parsed_references, linked_edges,
+    note_log, stream_note_log, retrieval, retrieval_plain, briefings, note_stale, note_targets, node_summaries, pack_prefix, pack_first_fit, repo_maps, parsed_nodes, parsed_references, linked_edges,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = graph_sql.statements(QUESTIONS)

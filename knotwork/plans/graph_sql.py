@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from knotwork.functions.text import SIDE_PATH, STOPWORDS, TEST_PATH
-from knotwork.operators.graph import FLOW, ITERATIONS, LABELS_IN, LABELS_OUT, NEARNESS
 from knotwork.operators.link import COMMON
-from knotwork.operators.search import HITS, NODE_FIELDS, RANKED
+
+# Weights, labels and limits, written out once more so that a wrong one in the operators shows.
+FLOW = {"calls": 1.0, "inherits": 1.0, "references": 0.5, "imports": 0.3}
+NEARNESS = {"calls": 1.0, "inherits": 0.9, "memory_about": 1.0, "tested_by": 0.7, "documented_by": 0.6, "contains": 0.6, "references": 0.6, "imports": 0.4}
+LABELS_OUT = {"calls": "CALLS", "inherits": "INHERITS", "imports": "IMPORTS", "references": "REFERENCES", "tested_by": "TESTED BY", "documented_by": "DOCUMENTED BY", "contains": "CONTAINS"}
+LABELS_IN = {"calls": "CALLED BY", "inherits": "SUBCLASSES", "imports": "IMPORTED BY", "references": "REFERENCED BY", "contains": "CONTAINED IN", "memory_about": "MEMORIES"}
+ITERATIONS, HITS, RANKED = 40, 40, 60
+NODE_FIELDS = {"name": 6.0, "idents": 4.0, "file_path": 1.5, "summary": 2.0, "docstring": 1.0}
+NOTE_FIELDS = {"topic": 2.0, "content": 1.0}
 
 
 def _list(words) -> str:
@@ -78,21 +85,44 @@ def _members(name: str, pairs: str, most: int) -> str:
  {name} AS (SELECT owner, string_agg(label, ', ' ORDER BY k) || CASE WHEN any_value(total) > {most} THEN ' (+' || (any_value(total) - {most}) || ')' ELSE '' END AS names FROM {name}_r WHERE k <= {most} GROUP BY owner)"""
 
 
-def _summaries() -> str:
+def _summaries(path: str = "file_path") -> str:
+    """CTEs from n on, the last of them summed(key, summary)."""
     down = "SELECT s.key AS owner, l.label, l.w, l.key AS tie FROM pairs p JOIN l ON l.id = p.target JOIN n s ON s.id = p.source WHERE "
     held = "p.relation = 'contains' AND coalesce(l.is_public, false) AND "
     doc = f"nullif({_sentence('docstring', 200)}, '')"
     sig = "coalesce(nullif(signature, ''), name)"
     part = lambda head, t: f"CASE WHEN {t}.names IS NOT NULL THEN '{head}' || {t}.names || '.' END"
-    return f"""{NE}, l AS (SELECT id, key, type, name, is_public, {_LABEL} AS label, coalesce(importance, 0) AS w FROM n), pairs AS (SELECT DISTINCT source, target, relation FROM e WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)),
+    return f"""l AS (SELECT id, key, type, name, is_public, {_LABEL} AS label, coalesce(importance, 0) AS w FROM n), pairs AS (SELECT DISTINCT source, target, relation FROM e WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)),
  {_members('defines', down + held + "l.type IN ('class', 'function')", 8)}, {_members('methods', down + held + "l.type IN ('method', 'function', 'test') AND NOT starts_with(l.name, '__')", 8)},
  {_members('called', down + "p.relation = 'calls'", 5)}, {_members('callers', "SELECT t.key AS owner, l.label, l.w, l.key AS tie FROM pairs p JOIN l ON l.id = p.source JOIN n t ON t.id = p.target WHERE p.relation = 'calls'", 4)},
  x AS (SELECT n.key, CASE n.type WHEN 'memory' THEN coalesce(docstring, '') WHEN 'module' THEN concat_ws(' ', 'Module ' || qualname || '.', {doc}, {part('Defines: ', 'defines')})
   WHEN 'class' THEN concat_ws(' ', coalesce(nullif(signature, ''), 'class ' || name) || '.', {doc}, {part('Methods: ', 'methods')}, {part('Used by: ', 'callers')})
-  WHEN 'documentation' THEN concat_ws(' ', 'Docs ' || chr(39) || name || chr(39) || ' (' || file_path || ').', CASE WHEN length(docstring) > 0 THEN {_sentence('docstring', 240)} END)
+  WHEN 'documentation' THEN concat_ws(' ', 'Docs ' || chr(39) || name || chr(39) || ' (' || {path} || ').', CASE WHEN length(docstring) > 0 THEN {_sentence('docstring', 240)} END)
   ELSE CASE WHEN n.type IN ('function', 'method', 'test') THEN concat_ws(' ', CASE WHEN ends_with({sig}, '.') THEN {sig} ELSE {sig} || '.' END, {doc}, {part('Calls: ', 'called')}, {part('Called by: ', 'callers')}) ELSE concat_ws(' ', name, {doc}) END END AS t
-  FROM n LEFT JOIN defines ON defines.owner = n.key LEFT JOIN methods ON methods.owner = n.key LEFT JOIN called ON called.owner = n.key LEFT JOIN callers ON callers.owner = n.key)
- SELECT key, CASE WHEN length(t) > 300 THEN substr(t, 1, 299) || '…' ELSE t END AS summary FROM x"""
+  FROM n LEFT JOIN defines ON defines.owner = n.key LEFT JOIN methods ON methods.owner = n.key LEFT JOIN called ON called.owner = n.key LEFT JOIN callers ON callers.owner = n.key),
+ summed AS (SELECT key, CASE WHEN length(t) > 300 THEN substr(t, 1, 299) || '…' ELSE t END AS summary FROM x)"""
+
+
+def _retrieval(asked: str, fold: str, about: str) -> str:
+    docs = f"SELECT n.key AS doc, name, {_idents('name', 'qualname')} AS idents, concat_ws('/', repo, file_path) AS file_path, s.summary, coalesce(docstring, '') AS docstring FROM n JOIN summed s ON s.key = n.key"
+    notes = "SELECT uid AS doc, topic, content FROM kept"
+    near = f"near AS (SELECT node, other, relation || ' ' || arrow AS how, {_case('relation', NEARNESS, '0.3')} AS weight FROM bk JOIN n ON n.key = bk.other QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, coalesce(n.importance, 0) DESC, other, relation, arrow) <= 20)"
+    best = "QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY p DESC, hop, via, how) = 1"
+    return f"""{NE}, {_summaries("concat_ws('/', repo, file_path)")}, {fold.replace('folded AS', 'folded0 AS')}, folded AS (SELECT * FROM folded0 WHERE content IS NOT NULL), kept AS (SELECT * FROM folded), {about}, {asked},
+ {_bm25(docs, NODE_FIELDS, 'h')}, {_bm25(notes, NOTE_FIELDS, 'm', 10)},
+ rel AS (SELECT query_id, doc, (1.0::DOUBLE / (20 + rank)) / max(1.0::DOUBLE / (20 + rank)) OVER (PARTITION BY query_id) AS rel FROM hitsh),
+ s0 AS (SELECT query_id, doc AS node, rel AS p, 0 AS hop, NULL::VARCHAR AS via, NULL::VARCHAR AS how FROM rel QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc) <= 15),
+ ek AS (SELECT a.key AS source, b.key AS target, relation FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target), bk AS (SELECT source AS node, target AS other, relation, '→' AS arrow FROM ek UNION ALL SELECT target, source, relation, '←' FROM ek), {near},
+ one_ AS (SELECT * FROM (SELECT * FROM s0 UNION ALL SELECT query_id, other, p * weight, 1, node, near.how FROM s0 JOIN near USING (node)) {best}),
+ two_ AS (SELECT * FROM (SELECT * FROM one_ UNION ALL SELECT query_id, other, p * weight * 0.5, 2, node, near.how FROM one_ JOIN near USING (node) WHERE hop = 1) {best}),
+ reach AS (SELECT t.* FROM two_ t LEFT JOIN s0 ON s0.query_id = t.query_id AND s0.node = t.node QUALIFY s0.node IS NOT NULL OR row_number() OVER (PARTITION BY t.query_id, s0.node IS NOT NULL ORDER BY t.p DESC, t.node) <= 50),
+ said AS (SELECT query_id, doc AS uid, 0.8 * score / CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN max(score) OVER (PARTITION BY query_id) ELSE 1 END AS score FROM hitsm),
+ boost AS (SELECT query_id, key AS doc, max(score) AS memory, arg_max(s.uid, (score, s.uid)) AS uid FROM said s JOIN about_ a ON a.uid = s.uid GROUP BY ALL),
+ placed AS (SELECT coalesce(r.query_id, b.query_id) AS query_id, coalesce(r.node, b.doc) AS key, coalesce(r.p, 0.5 * b.memory) AS p, CASE WHEN r.p IS NULL THEN 'memory_about ← memory ' || b.uid ELSE r.how END AS how, r.via, b.memory FROM reach r FULL JOIN boost b ON b.query_id = r.query_id AND b.doc = r.node),
+ z AS (SELECT p.query_id, p.key, coalesce(rel.rel, 0) AS relevance, (0.55 * coalesce(rel.rel, 0) + 0.25 * coalesce(p.p, 0) + 0.10 * coalesce(n.importance, 0) + 0.10 * coalesce(p.memory, 0)) * CASE n.type WHEN 'test' THEN 0.75 WHEN 'file' THEN 0.6 WHEN 'module' THEN 0.9 ELSE 1.0 END
+  * CASE WHEN coalesce(n.type, '') IN ('test', 'documentation') THEN 1.0 WHEN {_TEST.format("concat_ws('/', n.repo, n.file_path)")} THEN 0.7 WHEN regexp_matches(concat_ws('/', n.repo, n.file_path), '{SIDE_PATH}') THEN 0.8 ELSE 1.0 END AS score, concat_ws(' ', p.how, coalesce(v.name, p.via)) AS via
+  FROM placed p LEFT JOIN rel ON rel.query_id = p.query_id AND rel.doc = p.key JOIN n ON n.key = p.key LEFT JOIN n v ON v.key = p.via WHERE n.type IS NULL OR n.type != 'memory')
+ SELECT query_id, key, round(score, 5) AS score, round(relevance, 5) AS relevance, via FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= {RANKED}"""
 
 
 def _pagerank() -> str:
@@ -122,6 +152,12 @@ folded AS (SELECT l.*, p.place FROM place p JOIN log l ON l.uid = p.uid AND l.lo
     keyed = f"{NE}, x AS (SELECT a.repo, a.key AS source_key, b.key AS target_key, e.relation, a.file_path AS from_path, b.file_path AS to_path, b.repo AS to_repo, b.parent_id FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target)"
     linkable = "('module', 'class', 'function', 'method', 'test')"
     modules = "m AS (SELECT repo, file_path, min(key) AS module_key FROM n WHERE type IN ('module', 'file') GROUP BY ALL)"
+    about = f"""ln AS (SELECT key, qualname, name, {_PARTS} AS a FROM n WHERE type IN {linkable}),
+ named AS (SELECT 0 AS tier, qualname AS s, key, qualname FROM ln UNION ALL SELECT 1, array_to_string(a[i:], '.'), key, qualname FROM (SELECT *, unnest(range(2, len(a))) AS i FROM ln) UNION ALL SELECT 2, name, key, qualname FROM ln),
+ best AS (SELECT * FROM named QUALIFY tier = min(tier) OVER (PARTITION BY s)), one AS (SELECT s, arg_min(key, (length(qualname), key)) AS key FROM best GROUP BY s HAVING min(tier) < 2 OR count(*) = 1),
+ listed AS (SELECT uid, unnest(symbols) AS s FROM folded), w AS (SELECT uid, unnest(files) AS f, regexp_extract_all(concat_ws(' ', content, topic), '[A-Za-z_][A-Za-z0-9_]{{3,}}') AS words FROM folded),
+ here AS (SELECT w.uid, w.f, n.key, n.type IN ('module', 'file') AS whole, list_contains(words, n.name) AS said FROM w JOIN n ON n.file_path = w.f WHERE n.type IS NOT NULL), inside AS (SELECT * FROM here WHERE NOT whole AND said),
+ about_ AS (SELECT uid, one.key FROM listed JOIN one USING (s) UNION SELECT uid, key FROM inside UNION SELECT uid, key FROM here h WHERE whole AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.uid = h.uid AND i.f = h.f))"""
     return {
         "file_manifest": r"""SELECT file_id, sha1(content) AS content_hash, CAST(ceil(length(content) / 3.3) AS INTEGER) AS n_tokens, CASE lower(regexp_extract(path, '[^/](\.[^./]*)$', 1)) WHEN '.py' THEN 'python' WHEN '.md' THEN 'markdown' WHEN '.mdx' THEN 'markdown' END AS language,
  regexp_matches(path, '(^|/)(node_modules|\.git|\.venv|venv|env|__pycache__|dist|build|\.mypy_cache|\.pytest_cache|\.ruff_cache|\.tox|\.next|coverage|site-packages)/|_pb2\.py$|_pb2_grpc\.py$') AS ignored FROM (SELECT DISTINCT ON (file_id) * FROM files WHERE content IS NOT NULL)""",
@@ -155,13 +191,9 @@ folded AS (SELECT l.*, p.place FROM place p JOIN log l ON l.uid = p.uid AND l.lo
  z AS (SELECT r.q, r.id, (0.55 * (0.6 * rel + 0.4 * coalesce(sim, 0)) + 0.25 * rel + 0.10 * coalesce(importance, 0)) * CASE type WHEN 'test' THEN 0.75 WHEN 'file' THEN 0.6 WHEN 'module' THEN 0.9 ELSE 1.0 END
   * CASE WHEN coalesce(type, '') IN ('test', 'documentation') THEN 1.0 WHEN {_TEST.format('file_path')} THEN 0.7 WHEN regexp_matches(coalesce(file_path, ''), '{SIDE_PATH}') THEN 0.8 ELSE 1.0 END AS score FROM rel r LEFT JOIN sim USING (q, id) JOIN n ON n.id = r.id)
  SELECT q AS query_id, id, round(score, 4) AS score FROM z QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) <= {RANKED}""",
-        "note_targets": f"""WITH {N}, {fold}, l AS (SELECT key, qualname, name, {_PARTS} AS a FROM n WHERE type IN {linkable}),
- named AS (SELECT 0 AS tier, qualname AS s, key, qualname FROM l UNION ALL SELECT 1, array_to_string(a[i:], '.'), key, qualname FROM (SELECT *, unnest(range(2, len(a))) AS i FROM l) UNION ALL SELECT 2, name, key, qualname FROM l),
- best AS (SELECT * FROM named QUALIFY tier = min(tier) OVER (PARTITION BY s)), one AS (SELECT s, arg_min(key, (length(qualname), key)) AS key FROM best GROUP BY s HAVING min(tier) < 2 OR count(*) = 1),
- listed AS (SELECT uid, unnest(symbols) AS s FROM folded), w AS (SELECT uid, unnest(files) AS f, regexp_extract_all(concat_ws(' ', content, topic), '[A-Za-z_][A-Za-z0-9_]{{3,}}') AS words FROM folded),
- here AS (SELECT w.uid, w.f, n.key, n.type IN ('module', 'file') AS whole, list_contains(words, n.name) AS said FROM w JOIN n ON n.file_path = w.f WHERE n.type IS NOT NULL), inside AS (SELECT * FROM here WHERE NOT whole AND said)
- SELECT uid, one.key FROM listed JOIN one USING (s) UNION SELECT uid, key FROM inside UNION SELECT uid, key FROM here h WHERE whole AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.uid = h.uid AND i.f = h.f)""",
-        "node_summaries": _summaries(),
+        "note_targets": f"WITH {N}, {fold}, {about} SELECT uid, key FROM about_",
+        "node_summaries": f"{NE}, {_summaries()} SELECT key, summary FROM summed",
+        "retrieval_plain": _retrieval(asked, fold, about),
         "edges_tidy": f"WITH {E} SELECT * FROM e",
         "adjacency": f"WITH {E}, {BOTH} SELECT node, arrow, relation, count(*) AS n, count(*) FILTER (confidence = 'low') AS n_low FROM b GROUP BY ALL",
         "label_groups": f"""{NE}, {BOTH}, {users}, g AS (SELECT node, other, CASE WHEN arrow = '→' THEN {_case('relation', LABELS_OUT, 'NULL')} ELSE {_case('relation', LABELS_IN, 'NULL')} END AS label, CASE WHEN confidence = 'low' THEN '~' ELSE '' END AS mark FROM b UNION ALL SELECT node, other, 'USED BY (via methods)', CASE WHEN confidence = 'low' THEN '~' ELSE '' END FROM u)
