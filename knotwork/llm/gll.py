@@ -8,6 +8,7 @@ Terminals in angle brackets look at a token without taking it.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 _META = re.compile(r"'([^']+)'|(<\w+>)|(\w+)|([:|;()*?+])")
 
@@ -86,61 +87,80 @@ class Grammar:
                             mask |= follow[n] if null else 0
                             if mask & ~follow[s]:
                                 follow[s], changed = follow[s] | mask, True
-        self.starts = {s: number[s] for s in starts}
+        #: Alternatives by nonterminal, token and the token after it, filled as they are met.
+        self.viable: dict[tuple[int, int, int], tuple] = {}
+        self.number, self.starts = number, {s: number[s] for s in starts}
         self.first, self.empty = first, empty
         self.alternatives = {n: [(of(alt)[0] | (follow[n] if of(alt)[1] else 0), alt) for alt in alts] for n, alts in rules.items()}
 
 
-def accepts(grammar: Grammar, tokens: list[int]) -> set[str]:
-    """The start symbols that derive all of the tokens (the last of them stands for the end)."""
-    alternatives, first, empty, peeks, end = grammar.alternatives, grammar.first, grammar.empty, grammar.peeks, len(tokens)
+    def choices(self, symbol: int, token: int, after: int) -> tuple:
+        """The alternatives of a nonterminal that the next two tokens leave."""
+        if not self.first[symbol] & token:
+            return ()
+        takes = lambda s: s > 0 and not s & self.peeks
+        return tuple(a for mask, a in self.alternatives[symbol] if mask & token and not (len(a) > 1 and takes(a[0]) and takes(a[1]) and not a[1] & after))
+
+
+def accepts(grammar: Grammar, tokens: Sequence[int], starts: tuple[str, ...] = ()) -> set[str]:
+    """The start symbols, of the grammar or as given, that derive all of the tokens.
+
+    A nonterminal of which the next token leaves one alternative is expanded where it stands, as an LL(1) parser would; a
+    node of the shared stack is made only where several remain. A node meets each of its ways on with each of its ends."""
+    empty, peeks, viable, end = grammar.empty, grammar.peeks, grammar.viable, len(tokens)
     nodes: dict[tuple[int, int], tuple[list, list]] = {}  # (nonterminal, position): (ways on, ends)
-    done: set = set()
     todo: list = []
     roots = {}
-    for name, s in grammar.starts.items():
+    for name, s in ({n: grammar.number[n] for n in starts} if starts else grammar.starts).items():
         node = nodes[(s, 0)] = ([], [])
         roots[name] = node
-        todo += [(alt, 0, node, 0) for mask, alt in alternatives[s] if tokens and mask & tokens[0]]
+        todo += [(alt, 0, None, node, 0) for mask, alt in grammar.alternatives[s] if tokens and mask & tokens[0]]
     while todo:
-        alt, dot, node, at = todo.pop()
+        # rest: what follows this alternative within the node, as (alternative, dot, rest)
+        alt, dot, rest, node, at = todo.pop()
+        token = tokens[at] if at < end else 0
         n = len(alt)
-        while dot < n:
+        while True:
+            if dot == n:
+                if rest is not None:
+                    alt, dot, rest = rest
+                    n = len(alt)
+                    continue
+                ways, ends = node
+                if at not in ends:
+                    ends.append(at)
+                    todo += [(*way, at) for way in ways]
+                break
             symbol = alt[dot]
             dot += 1
-            token = tokens[at] if at < end else 0
             if symbol > 0:
                 if not symbol & token:
                     break
                 if not symbol & peeks:
                     at += 1
+                    token = tokens[at] if at < end else 0
                 continue
-            if not first[symbol] & token:
+            after = tokens[at + 1] if at + 1 < end else 0
+            some = viable.get((symbol, token, after))
+            if some is None:
+                some = viable[(symbol, token, after)] = grammar.choices(symbol, token, after)
+            if not some:
                 if empty[symbol]:
                     continue
                 break
-            key = (symbol, at)
-            child = nodes.get(key)
-            way = (alt, dot, node)
+            if len(some) == 1:
+                if dot < n:
+                    rest = (alt, dot, rest)
+                alt, dot = some[0], 0
+                n = len(alt)
+                continue
+            way = (alt, dot, rest, node)
+            child = nodes.get((symbol, at))
             if child is None:
-                nodes[key] = ([way], [])
-                child = nodes[key]
-                todo += [(a, 0, child, at) for mask, a in alternatives[symbol] if mask & token]
-            elif not any(w[0] is alt and w[1] == dot and w[2] is node for w in child[0]):
+                child = nodes[(symbol, at)] = ([way], [])
+                todo += [(a, 0, None, child, at) for a in some]
+            else:
                 child[0].append(way)
-                for stop in child[1]:
-                    d = (id(alt), dot, id(node), stop)
-                    if d not in done:
-                        done.add(d)
-                        todo.append((alt, dot, node, stop))
+                todo += [(*way, stop) for stop in child[1]]
             break
-        else:
-            ways, ends = node
-            if at not in ends:
-                ends.append(at)
-                for a, d, parent in ways:
-                    key = (id(a), d, id(parent), at)
-                    if key not in done:
-                        done.add(key)
-                        todo.append((a, d, parent, at))
     return {name for name, node in roots.items() if end in node[1]}

@@ -7,8 +7,9 @@ import keyword
 import re
 import tokenize
 from collections.abc import Callable
+from functools import lru_cache
 
-from knotwork.llm.gll import Grammar
+from knotwork.llm.gll import Grammar, accepts
 
 
 class Malformed(ValueError):
@@ -267,7 +268,7 @@ PYTHON = Grammar(
     File : ( NEWLINE | Statement )* END ;
     Statement : Simple | If | While | For | Try | With | Function | Class | Match | 'async' ( For | With | Function ) | Decorator+ ( Function | Class | 'async' Function ) ;
     Decorator : '@' Named NEWLINE ;
-    Simple : Small ( ';' Small )* ';'? NEWLINE ;
+    Simple : LINE | Small ( ';' Small )* ';'? NEWLINE ;
     Small : Assignment | 'pass' | 'break' | 'continue' | 'return' Stars? | 'raise' ( Test ( 'from' Test )? )? | 'del' Stars | ( 'global' | 'nonlocal' ) NAME ( ',' NAME )* | 'assert' Test ( ',' Test )? | Import | 'type' NAME Types? '=' Test ;
     Import : 'import' Dotted ( 'as' NAME )? ( ',' Dotted ( 'as' NAME )? )* | 'from' ( ( '.' | '...' )* Dotted | ( '.' | '...' )+ ) 'import' ( '*' | '(' Imported ( ',' Imported )* ','? ')' | Imported ( ',' Imported )* ) ;
     Dotted : NAME ( '.' NAME )* ;
@@ -350,8 +351,94 @@ def python_tokens(text: str) -> list[int]:
     return out
 
 
+# --- Parts that are parsed once -----------------------------------------------------------------------------------------
+#
+# What stands between two line ends or two brackets derives from one symbol, whatever is around it, so the parse of such a
+# part is a stretch of its own. Many parts have the same tokens: a stretch is parsed once and remembered by its tokens.
+
+#: Stretches remembered by a worker; longer ones than STRETCH tokens are parsed each time.
+REMEMBERED, STRETCH = 1 << 16, 96
+
+
+@lru_cache(REMEMBERED)
+def _remembered(language: str, symbol: str, tokens: tuple[int, ...]) -> bool:
+    return bool(accepts(_STRETCHES[language], tokens, (symbol,)))
+
+
+def _derives(language: str, symbol: str, tokens: list[int]) -> bool:
+    if len(tokens) > STRETCH:
+        return bool(accepts(_STRETCHES[language], tokens, (symbol,)))
+    return _remembered(language, symbol, tuple(tokens))
+
+
+def json_parts(tokens: list[int]) -> list[int]:
+    """The tokens with every object and array, the inner ones first, parsed and replaced by a value."""
+    bit = JSON.bit
+    opening, closing = {bit["{"]: "Object", bit["["]: "Array"}, (bit["}"], bit["]"])
+    open_: list[list[int]] = [[]]
+    for t in tokens:
+        if t in opening:
+            open_.append([t])
+        elif t in closing:
+            if len(open_) == 1 or not _derives("json", opening[open_[-1][0]], [*open_[-1], t]):
+                raise Malformed
+            open_.pop()
+            open_[-1].append(bit["WORD"])
+        else:
+            open_[-1].append(t)
+    if len(open_) > 1:
+        raise Malformed
+    return open_[0]
+
+
+def toml_parts(tokens: list[int]) -> list[int]:
+    """The tokens with every line outside brackets parsed and left empty."""
+    bit = TOML.bit
+    up, down, end = (bit["["], bit["{"]), (bit["]"], bit["}"]), bit["END"]
+    out, line, depth = [], [], 0
+    for t in tokens:
+        if t == end or (t == bit["NL"] and depth == 0):
+            if line and not _derives("toml", "Line", line):
+                raise Malformed
+            out.append(t)
+            line = []
+            continue
+        depth += (t in up) - (t in down)
+        line.append(t)
+    return out
+
+
+def python_parts(tokens: list[int]) -> list[int]:
+    """The tokens with every line that begins no compound statement parsed and replaced by one token."""
+    bit = PYTHON.bit
+    compound = sum(bit[w] for w in ("if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class", "async", "match", "case", "@"))
+    newline, frame = bit["NEWLINE"], bit["INDENT"] | bit["DEDENT"] | bit["END"] | bit["NEWLINE"]
+    out, line = [], []
+    for t in tokens:
+        if not line and t & frame:
+            out.append(t)
+            continue
+        line.append(t)
+        if t == newline:
+            if line[0] & compound:
+                out += line
+            elif _derives("py", "Simple", line):
+                out.append(bit["LINE"])
+            else:
+                raise Malformed
+            line = []
+    return out + line
+
+
+def _in_parts(lexer: Callable[[str], list[int]], parts: Callable[[list[int]], list[int]]) -> Callable[[str], list[int]]:
+    return lambda text: parts(lexer(text))
+
+
+_STRETCHES = {"json": JSON, "toml": TOML, "py": PYTHON}
+_python = _in_parts(python_tokens, python_parts)
+
 #: Per extension: the lexer and the grammar, whose start symbols are the dialects.
 LANGUAGES: dict[str, tuple[Callable[[str], list[int]], Grammar]] = {
-    "json": (json_tokens, JSON), "toml": (toml_tokens, TOML), "py": (python_tokens, PYTHON), "pyi": (python_tokens, PYTHON),
+    "json": (_in_parts(json_tokens, json_parts), JSON), "toml": (_in_parts(toml_tokens, toml_parts), TOML), "py": (_python, PYTHON), "pyi": (_python, PYTHON),
     "js": (javascript_tokens, JAVASCRIPT), "mjs": (javascript_tokens, JAVASCRIPT), "cjs": (javascript_tokens, JAVASCRIPT),
 }
