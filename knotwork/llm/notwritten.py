@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from knotwork.session import folder, materialize
+from knotwork.session import broadcast_if_small, folder, materialize
 
 #: About so many files at most, drawn by a hash of their id, are labelled; of either label so many are fitted on.
 CANDIDATES, SAMPLE = 30_000, 3000
@@ -160,26 +160,31 @@ def labelled(files: DataFrame, known: frozenset[str], sample: int = SAMPLE, cand
     some = _files(files)
     n = some.count()
     drawn = some.filter(_draw("file_id", salt=11) < candidates / max(n, 1)) if n > candidates else some
-    # rows of one file differ rarely; one of them is learnt
-    drawn = drawn.groupBy("file_id").agg(F.min(F.struct("repo", "path", "content")).alias("f")).select("file_id", "f.*", F.pmod(F.xxhash64("f.repo", F.lit(5)), F.lit(2)).alias("half"))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i, h, p, t in zip(b["file_id"], b["half"], b["path"], b["content"], strict=True):
-                v, kind = _features(p, t, known)
-                at = np.flatnonzero(v)
-                rows.append((i, kind, f"{2 * h + kind} " + " ".join(f"{k + 1}:{x:.6g}" for k, x in zip(at, v[at], strict=True))))
-            yield pd.DataFrame(rows, columns=["file_id", "kind", "value"])
+            yield pd.DataFrame({"file_id": b["file_id"], "kind": [label(*evidence(p, t, known)) for p, t in zip(b["path"], b["content"], strict=True)]})
 
-    each = materialize(drawn.mapInPandas(work, "file_id long, kind int, value string"))
+    each = materialize(drawn.mapInPandas(judge, "file_id long, kind int").groupBy("file_id").agg(F.max("kind").alias("kind")))
     counts = {r.kind: r.n for r in each.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for kind, m in counts.items():
         keep = keep | ((F.col("kind") == kind) & (_draw("file_id", salt=12) < min(1.0, sample / m)))
+    # rows of one file differ rarely; one of them is learnt
+    chosen = drawn.join(broadcast_if_small(materialize(each.filter(keep))), "file_id").groupBy("file_id").agg(F.min(F.struct("repo", "path", "content", "kind")).alias("f")).select("f.*", F.pmod(F.xxhash64("f.repo", F.lit(5)), F.lit(2)).alias("half"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for h, kind, p, t in zip(b["half"], b["kind"], b["path"], b["content"], strict=True):
+                v = _features(p, t, known)[0]
+                at = np.flatnonzero(v)
+                rows.append(f"{2 * h + kind} " + " ".join([f"{k}:{x:.4g}" for k, x in zip((at + 1).tolist(), v[at].tolist(), strict=True)]))
+            yield pd.DataFrame({"value": rows})
+
     # written as text, the sparse vectors are read back by the JVM
     path = f"{folder(files.sparkSession)}/{uuid.uuid4().hex}"
-    each.filter(keep).select("value").coalesce(8).write.text(path)
+    chosen.mapInPandas(write, "value string").write.text(path)
     rows = files.sparkSession.read.format("libsvm").option("numFeatures", str(SIZE)).load(path) if counts else files.sparkSession.createDataFrame([], StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
     return rows.select((F.col("label") % 2).alias("label"), "features", F.floor(F.col("label") / 2).alias("half"))
 
