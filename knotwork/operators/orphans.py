@@ -107,9 +107,12 @@ def replayed(nodes: DataFrame, removed: DataFrame, edges: DataFrame, memories: D
 
     Every period's removals, arrivals and references make one step. A node that was taken out was there until then."""
     spark = nodes.sparkSession
-    parents = by_both_names(nodes, "id", micros("indexed_at")).unionByName(by_both_names(removed, "node_id", F.lit(ALWAYS)))
-    parents = materialize(parents.withColumn("period", period_of(F.col("since"), months)))
+    removed = removed.filter("removed_at is not null")
     gone = materialize(by_both_names(removed, "node_id", micros("removed_at")).withColumn("period", period_of(F.col("since"), months)))
+    # a node that is in the table has come back, whatever the times say: never before it was taken out
+    back = broadcast_if_small(materialize(gone.groupBy("key").agg(F.max("period").alias("_gone"))))
+    came = by_both_names(nodes, "id", micros("indexed_at")).withColumn("period", period_of(F.col("since"), months)).join(back, "key", "left").withColumn("period", F.greatest("period", "_gone")).drop("_gone")
+    parents = materialize(came.unionByName(by_both_names(removed, "node_id", F.lit(ALWAYS)).withColumn("period", F.lit(0))))
     refs = edge_refs(edges).unionByName(anchor_refs(memories)).withColumn("period", period_of(F.col("at"), months))
     refs = materialize(refs)
     # one number per period
