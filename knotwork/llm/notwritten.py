@@ -4,9 +4,10 @@ Method: linear support-vector classifiers on hashed character n-grams and path c
 so a bounded sample is labelled by what gives a file away: a tool's or a third party's header, a package's folder, the
 shape of a lock file, of minified code or of dumped data. Headers are masked: the classifier sees only the text behind
 them, the parts of the path and the measured shape of the text, neither in the fit nor in the scores any of the headers or
-names that the labels were taken from. Validation splits by repository.
+names that the labels were taken from. Validation splits by repository. The classifier retrieves the files: above SURE as they are; what
+it is in doubt about, above DOUBT, is kept where an exact check finds the evidence of a label.
 
-CANDIDATES and SAMPLE bound the rows that are labelled and that a classifier is fitted on; everything else reads all
+CANDIDATES, SAMPLE and PLAIN bound the rows that are labelled and that a classifier is fitted on; everything else reads all
 files, whole.
 
 Cases: null contents and paths are judged by what is there, and a file without both is not flagged; empty files are not
@@ -33,8 +34,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from knotwork.session import broadcast_if_small, folder, materialize
 
-#: About so many files at most, drawn by a hash of their id, are labelled; of either label so many are fitted on.
-CANDIDATES, SAMPLE = 30_000, 3000
+#: About so many files at most, drawn by a hash of their id, are labelled; so many positives and negatives are fitted on.
+CANDIDATES, SAMPLE, PLAIN = 30_000, 3000, 12_000
+#: What a positive weighs in the fit; scores above which a file is taken, and above which evidence takes it.
+WEIGHT, SURE, DOUBT = 2.0, 0.5, -2.0
 #: Package names are matched within tasks up to this many; of more, only those that stand in some file's path or header.
 PACKAGES = 100_000
 GRAMS, PATHS = 1 << 13, 1 << 10
@@ -155,8 +158,8 @@ def _draw(*names: str, salt: int):
     return F.pmod(F.xxhash64(*names, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def labelled(files: DataFrame, known: frozenset[str], sample: int = SAMPLE, candidates: int = CANDIDATES) -> DataFrame:
-    """label, features, half (of the repositories) of a bounded sample, as many of either label as there are, at most."""
+def labelled(files: DataFrame, known: frozenset[str], sample: int = SAMPLE, plain: int = PLAIN, candidates: int = CANDIDATES) -> DataFrame:
+    """label, features, half (of the repositories) of a bounded sample: at most so many positives and plain files."""
     some = _files(files)
     n = some.count()
     drawn = some.filter(_draw("file_id", salt=11) < candidates / max(n, 1)) if n > candidates else some
@@ -169,7 +172,7 @@ def labelled(files: DataFrame, known: frozenset[str], sample: int = SAMPLE, cand
     counts = {r.kind: r.n for r in each.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for kind, m in counts.items():
-        keep = keep | ((F.col("kind") == kind) & (_draw("file_id", salt=12) < min(1.0, sample / m)))
+        keep = keep | ((F.col("kind") == kind) & (_draw("file_id", salt=12) < min(1.0, (sample if kind else plain) / m)))
     # rows of one file differ rarely; one of them is learnt
     chosen = drawn.join(broadcast_if_small(materialize(each.filter(keep))), "file_id").groupBy("file_id").agg(F.min(F.struct("repo", "path", "content", "kind")).alias("f")).select("f.*", F.pmod(F.xxhash64("f.repo", F.lit(5)), F.lit(2)).alias("half"))
 
@@ -190,12 +193,10 @@ def labelled(files: DataFrame, known: frozenset[str], sample: int = SAMPLE, cand
 
 
 def _train(rows: DataFrame):
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
+    if rows.select("label").distinct().count() < 2:
         return None
-    most = max(counts.values())
-    weight = F.when(F.col("label") == 1, F.lit(most / counts[1])).otherwise(F.lit(most / counts[0]))
-    return LinearSVC(maxIter=40, regParam=2e-4, standardization=False, weightCol="w", aggregationDepth=2).fit(rows.select("label", "features", weight.alias("w")))
+    weight = F.when(F.col("label") == 1, WEIGHT).otherwise(1.0)
+    return LinearSVC(maxIter=40, regParam=2e-5, standardization=False, weightCol="w", aggregationDepth=2).fit(rows.select("label", "features", weight.alias("w")))
 
 
 def fit(rows: DataFrame) -> np.ndarray | None:
@@ -216,7 +217,7 @@ def fit(rows: DataFrame) -> np.ndarray | None:
 
 
 def scored(files: DataFrame, known: frozenset[str], weights: np.ndarray | None) -> DataFrame:
-    """file_id, repo, label, score, fitted; a score above 0 means not written by hand."""
+    """file_id, repo, label, score, fitted; a score above 0 speaks for a file that was not written by hand."""
     shared = files.sparkSession.sparkContext.broadcast(weights)  # SIZE numbers
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,11 +235,12 @@ def scored(files: DataFrame, known: frozenset[str], weights: np.ndarray | None)
 def not_written(files: DataFrame, packages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """file_id of the files that were made by a tool, minified, copied from a package, or dumped."""
     known = _packages(files, packages)
-    return scored(files, known, fit(labelled(files, known, sample))).filter("score > 0").select("file_id").distinct()
+    found = scored(files, known, fit(labelled(files, known, sample)))
+    return found.filter((F.col("score") > SURE) | ((F.col("score") > DOUBT) & (F.col("label") == 1))).select("file_id").distinct()
 
 
 def validation(files: DataFrame, packages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """n_files, n_labelled, n_found, n_both, recall over repositories that the fit did not see."""
+    """n_files, n_labelled, n_found, n_both, recall of the classifier alone over repositories that the fit did not see."""
     held = F.pmod(F.xxhash64(F.coalesce("repo", F.lit(""))), F.lit(5)) == 0
     known = _packages(files, packages)
     s = scored(files.filter(held), known, fit(labelled(files.filter(~held), known, sample)))
