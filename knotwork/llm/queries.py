@@ -41,7 +41,7 @@ def p4_search(spark, sf):
     e = table(spark, sf, "node_embeddings")
     some = table(spark, sf, "nodes").filter("id % 50 = 0").select("node_key").distinct()
     asked = neighbours.usable(e).join(some, "node_key", "left_semi").select(F.col("node_key").alias("query_id"), "model", "vector")
-    return neighbours.search(e, asked)
+    return neighbours.search(e, asked).withColumn("cosine", F.round("cosine", 6))
 
 
 def p4_recall(spark, sf):
@@ -115,5 +115,8 @@ SQL = {
     "p9_kept": _KEPT,
     "p9_weighted": _KEPT,
     "p4_found": _USABLE + "SELECT x.a AS node_key_a, x.b AS node_key_b FROM t x JOIN t y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b AND x.cosine >= 0.9",
+    "p4_search": _USABLE
+    + """, s AS (SELECT a.node_key AS query_id, b.node_key, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS cosine FROM u a JOIN u b ON a.model = b.model WHERE a.node_key IN (SELECT node_key FROM nodes WHERE id % 50 = 0)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, node_key) AS INTEGER) AS rank FROM s QUALIFY rank <= 5) SELECT query_id, node_key, round(cosine, 6) AS cosine, rank FROM r""",
     "p4_similar": _USABLE + "SELECT a AS node_key, b AS other_key, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM t",
 }
