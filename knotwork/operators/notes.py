@@ -48,15 +48,17 @@ def about(notes: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     linkable = nodes.filter(F.col("type").isin("module", "class", "function", "method", "test"))
     parts = F.split("qualname", r"\.")
-    ends = linkable.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.when(i == 1, 0).otherwise(1).alias("tier"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("symbol")))).alias("x"), "key", "qualname").select("x.*", "key", "qualname")
-    bare = linkable.select(F.lit(2).alias("tier"), F.col("name").alias("symbol"), "key", "qualname")
-    named = ends.unionByName(bare)
-    best = named.join(named.groupBy("symbol").agg(F.min("tier").alias("tier")), ["symbol", "tier"])
-    one = best.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("tier").alias("tier"), F.min_by("key", F.struct(F.length("qualname"), "key")).alias("key")).filter("tier < 2 or n = 1")
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.when(i == 1, 0).otherwise(1).alias("tier"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("symbol")))
+    bare = F.array(F.struct(F.lit(2).alias("tier"), F.col("name").alias("symbol")))
+    named = linkable.select(F.explode(F.concat(ends, bare)).alias("x"), "key", F.length("qualname").alias("long")).select("x.*", "key", "long")
+    # counted in parts where the nodes are, so that only a row a symbol moves
+    each = named.groupBy("symbol", "tier").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", F.struct("long", "key")).alias("key"))
+    one = each.groupBy("symbol").agg(F.min(F.struct("tier", "n", "key")).alias("x")).select("symbol", "x.*").filter("tier < 2 or n = 1")
     by_symbol = notes.select("uid", F.explode("symbols").alias("symbol")).join(one, "symbol").select("uid", "key")
     text = F.concat_ws(" ", "content", "topic")
     words = notes.select("uid", F.explode("files").alias("file_path"), F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]{3,})"), 1).alias("words"))
     here = words.join(nodes.select("key", "type", "name", "file_path"), "file_path")
-    inside = here.filter(~F.col("type").isin("module", "file") & F.array_contains("words", F.col("name"))).select("uid", "file_path", "key")
-    whole = here.filter(F.col("type").isin("module", "file")).select("uid", "file_path", "key").join(inside.select("uid", "file_path"), ["uid", "file_path"], "left_anti")
-    return by_symbol.unionByName(inside.select("uid", "key")).unionByName(whole.select("uid", "key")).distinct()
+    file = F.col("type").isin("module", "file")
+    met = here.select("uid", "file_path", "key", (~file & F.array_contains("words", F.col("name"))).alias("inside"), file.alias("file")).filter("inside or file")
+    met = met.withColumn("any", F.max("inside").over(Window.partitionBy("uid", "file_path"))).filter("inside or not any").select("uid", "key")
+    return by_symbol.unionByName(met).distinct()

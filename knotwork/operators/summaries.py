@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import text as X
 from knotwork.operators.graph import members_named
+from knotwork.session import materialize
 
 #: How many neighbours each part of a summary names, and its greatest length.
 PARTS = {"defines": 8, "methods": 8, "calls": 5, "callers": 4}
@@ -19,26 +20,27 @@ MOST = 300
 
 def neighbour_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """key, defines, methods, calls, callers: the named neighbours of every node that has any."""
-    n = nodes.select("key", "type", "name", "importance", "is_public", X.summary_label(F.col("type"), F.col("name"), F.col("qualname")).alias("label"))
-    e = edges.select("source_key", "target_key", "relation").distinct()
-    down = e.join(n.withColumnRenamed("key", "target_key"), "target_key").select(F.col("source_key").alias("owner"), "relation", "type", "name", "is_public", "label", F.coalesce("importance", F.lit(0.0)).alias("importance"), F.col("target_key").alias("tie"))
-    up = e.filter("relation = 'calls'").join(n.withColumnRenamed("key", "source_key"), "source_key").select(F.col("target_key").alias("owner"), "label", F.coalesce("importance", F.lit(0.0)).alias("importance"), F.col("source_key").alias("tie"))
-    held = down.filter("relation = 'contains' and coalesce(is_public, false)")
-    groups = {
-        "defines": held.filter("type in ('class', 'function')"),
-        "methods": held.filter("type in ('method', 'function', 'test') and not startswith(name, '__')"),
-        "calls": down.filter("relation = 'calls'"),
-        "callers": up,
-    }
-    out = nodes.select("key")
-    for part, df in groups.items():
-        out = out.join(members_named(df.select("owner", "label", "importance", "tie"), PARTS[part]).select(F.col("owner").alias("key"), F.col("names").alias(part)), "key", "left")
-    return out
+    c = F.col
+    n = nodes.select("key", "type", "name", "is_public", X.summary_label(c("type"), c("name"), c("qualname")).alias("label"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    e = edges.filter("relation in ('contains', 'calls')").select("source_key", "target_key", "relation").distinct()
+    shown = (c("relation") == "contains") & F.coalesce("is_public", F.lit(False))
+    parts = F.array(
+        F.when(shown & c("type").isin("class", "function"), "defines"),
+        F.when(shown & c("type").isin("method", "function", "test") & ~c("name").startswith("__"), "methods"),
+        F.when(c("relation") == "calls", "calls"),
+    )
+    down = e.join(n.withColumnRenamed("key", "target_key"), "target_key").select(c("source_key").alias("owner"), F.explode(F.array_compact(parts)).alias("part"), "label", "importance", c("target_key").alias("tie"))
+    up = e.filter("relation = 'calls'").join(n.withColumnRenamed("key", "source_key"), "source_key").select(c("target_key").alias("owner"), F.lit("callers").alias("part"), "label", "importance", c("source_key").alias("tie"))
+    named = members_named(down.unionByName(up), PARTS)
+    return named.groupBy(c("owner").alias("key")).agg(*[F.max(F.when(c("part") == p, c("names"))).alias(p) for p in PARTS])
 
 
 def summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, summary of every node. nodes: key, type, name, qualname, file_path, signature, docstring, is_public, importance."""
-    d = nodes.join(neighbour_names(nodes, edges), "key", "left")
+    """key, summary of every node. nodes: key, type, name, qualname, file_path, signature, docstring, is_public, importance.
+
+    Keys may be numbers, if they are in the order of the names that they stand for."""
+    names = materialize(neighbour_names(nodes, edges))
+    d = nodes.select("key", "type", "name", "qualname", "file_path", "signature", "docstring").join(names, "key", "left")
     doc = F.when(F.length("docstring") > 0, X.first_sentence(F.col("docstring")))
     doc = F.when(F.length(doc) > 0, doc)
     line = lambda head, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(head), F.col(c), F.lit(".")))
