@@ -1,11 +1,12 @@
 """Functions paired with their documentation.
 
-Method: island grammars. Per language only documentation, annotations, signatures and balanced brackets are parsed; all
-else is water and skipped. The same grammar of signatures and documentation reads the columns of nodes and the pairs cut
+Method: island grammars. Per language only documentation, annotations, signatures and balanced bodies are parsed; all else
+is water and skipped. A body is balanced by brackets and indentation in Python, by braces in JavaScript, and its strings and
+comments do not count; functions inside it are islands of their own. The same grammar of signatures and documentation reads the columns of nodes and the pairs cut
 from whole source files. A pair is dropped where the documentation says nothing beyond the name and the parameters.
 
-Cases: null or blank signature or documentation, or another type than function or method, gives no pair; signatures cut
-short are read as far as they go; identical rows give one pair; empty tables and files give nothing; extra columns are
+Cases: null or blank signature or documentation, or another type than function or method, gives no pair; signatures and
+bodies cut short are read as far as they go; a bracket left open ends at the next definition; identical rows give one pair; empty tables and files give nothing; extra columns are
 ignored.
 """
 
@@ -134,39 +135,109 @@ def node_pairs(nodes: DataFrame) -> DataFrame:
 
 # --- pairs from whole source files -----------------------------------------------------------------------------------
 
-_PY = re.compile(r"(?P<comment>\#[^\n]*)|(?P<string>(?P<pre>[rRbBuUfF]{0,2})(?P<q>\"\"\"|''')(?P<body>(?:\\.|(?!(?P=q)).)*)(?P=q)|[rRbBuUfF]{0,2}\"(?:\\.|[^\"\\\n])*\"|[rRbBuUfF]{0,2}'(?:\\.|[^'\\\n])*')|(?P<deco>(?m:^)[ \t]*@[\w.]+)|(?P<def>\b(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*(?:\[[^\]\n]*\])?\()", re.S)
+_STRING = r"(?P<string>(?P<pre>[rRbBuUfF]{0,2})(?P<q>\"\"\"|''')(?P<body>(?:\\.|(?!(?P=q)).)*)(?P=q)|[rRbBuUfF]{0,2}\"(?:\\.|[^\"\\\n])*\"|[rRbBuUfF]{0,2}'(?:\\.|[^'\\\n])*')"
+_PY = re.compile(r"(?P<comment>\#[^\n]*)|" + _STRING + r"|(?P<joined>\\\r?\n)|(?P<line>\n\s*)|(?P<deco>@[\w.]+)|(?P<def>\b(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*(?:\[[^\]\n]*\])?\()|(?P<open>[(\[{])|(?P<close>[)\]}])", re.S)
+_PY_TAIL = re.compile(r"[^:\n\[]*(?:\[[^\n]*?\])?[^:\n]*:[^\S\n]*(?:#[^\n]*)?")
+_PY_BLANK = re.compile(r"(?:\s|#[^\n]*\n)*")
+_PY_DEFINES = re.compile(r"@|(?:async[ \t]+)?def\b")
+_PY_ANEW = re.compile(r"(?:@[^\n]*\n[ \t]*)*(?:(?:async[ \t]+)?def|class)\b")
 _JS = re.compile(r"(?P<doc>/\*\*(?!/).*?\*/)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<def>\b(?:async\s+)?function\b\s*\*?\s*(?P<name>[\w$]+)\s*\(|\b(?:const|let|var)\s+(?P<arrow>[\w$]+)\s*=\s*(?:async\s*)?(?=\([^()]*\)\s*=>)\(|(?<=[\n;{}])[ \t]*(?:static\s+|async\s+|get\s+|set\s+)*(?P<method>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|with\b)[\w$#]+)\s*\((?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*\{))", re.S)
+_JS_BODY = re.compile(r"(?P<water>//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|(?<=[(,=:\[!&|?{};\n>])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/|\breturn\s*/(?![*/])(?:\\.|[^/\\\n])+/)|(?P<tick>`)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<end>;|\n)", re.S)
+_JS_TEMPLATE = re.compile(r"\\.|\$\{|`", re.S)
 
 
-def python_pairs(source: str) -> Iterator[tuple[str, int, str, str]]:
-    """name, line, signature, documentation of every def with a string as its first statement."""
+def _column(source: str, at: int) -> int:
+    return len(source[source.rfind("\n", 0, at) + 1 : at].expandtabs(8))
+
+
+def python_pairs(source: str) -> Iterator[tuple[str, int, str, str, str]]:
+    """name, line, signature, documentation, body of every def with a string as its first statement.
+
+    A body goes on to the first line outside of brackets that is not deeper than its def."""
+    found: list[tuple[int, str, int, str, str | None, int, int]] = []  # start, name, line, signature, documentation, begin and end of the body
+    within: list[tuple[int, int]] = []  # the bodies that are open: column of the def, place in found
     decos: list[str] = []
-    i = 0
+    depth = i = 0
+    fresh, last = _PY_BLANK.match(source).end(), 0  # begin of the line of code, end of the last word of code
+
+    def close_to(column: int, end: int) -> None:
+        while within and within[-1][0] >= column:
+            k = within.pop()[1]
+            found[k] = (*found[k][:6], max(end, found[k][5]))
+
     while m := _PY.search(source, i):
+        if source[i : m.start()].strip():
+            last = i + len(source[i : m.start()].rstrip())
         i = m.end()
-        if m["deco"]:
+        if m["line"]:
+            if source[i : i + 1] in ("#", ""):
+                continue
+            if depth and _PY_ANEW.match(source, i):
+                depth = 0  # no expression holds a definition: what is open was cut
+            if not depth:
+                fresh = i
+                close_to(_column(source, i), last)
+                if not _PY_DEFINES.match(source, i):
+                    decos = []
+        elif m["deco"] and not depth and m.start() == fresh:
             end = balanced(source, i) if source[i : i + 1] == "(" else i
             decos.append(source[m.start() : end].strip())
-            i = end
+            i = last = end
         elif m["def"]:
             close = balanced(source, i - 1)
-            tail = re.compile(r"[^:\n\[]*(?:\[[^\n]*?\])?[^:\n]*:[^\S\n]*(?:#[^\n]*)?").match(source, close)
-            i = tail.end() if tail else close
+            tail = _PY_TAIL.match(source, close)
+            i = last = tail.end() if tail else close
             signature = " ".join([*decos, re.sub(r"\s+", " ", source[m.start() : i].split("#")[0]).strip().rstrip(":")])
-            line = source.count("\n", 0, m.start()) + 1
-            decos = []
-            first = re.compile(r"(?:\s|#[^\n]*\n)*").match(source, i)
-            s = _PY.match(source, first.end())
+            close_to(column := _column(source, m.start()), m.start())
+            decos, depth, text = [], 0, None
+            s = _PY.match(source, _PY_BLANK.match(source, i).end())
             if s and s["string"] and "b" not in (s["pre"] or "").lower() and "f" not in (s["pre"] or "").lower():
                 text = s["body"] if s["q"] else re.sub(r"^\w*.|.$", "", s["string"], flags=re.S)
-                yield m["name"], line, signature, re.sub(r"\n[ \t]+", "\n", text).strip()
-                i = s.end()
-        elif m["string"] and decos:
-            decos = []
-
-
-def javascript_pairs(source: str) -> Iterator[tuple[str, int, str, str]]:
-    """name, line, signature, documentation of every function or method with a documentation comment right before it."""
+                i = last = s.end()
+            within.append((column, len(found)))
+            found.append((m.start(), m["name"], source.count("\n", 0, m.start()) + 1, signature, text, i, i))
+        elif not m["comment"] and not m["joined"]:
+            depth = depth + 1 if m["open"] else max(0, depth - 1) if m["close"] else depth
+            last = i
+    close_to(0, i + len(source[i:].rstrip()) if source[i:].strip() else last)
+    for _, name, line, signature, text, begin, end in found:
+        if text is not None:
+            yield name, line, signature, re.sub(r"\n[ \t]+", "\n", text).strip(), source[begin:end].lstrip(" \t;").lstrip("\r\n")
+
+
+def _braced(source: str, start: int, expression: bool = False) -> int:
+    """Index behind the bracket that closes the one at start, or behind the expression that begins there."""
+    depth, i = 0, start
+    held: list[int] = []  # the depths at which ${} in a template literal goes back to its text
+    while m := _JS_BODY.search(source, i):
+        i = m.end()
+        text = bool(m["tick"])
+        if m["open"]:
+            depth += 1
+        elif m["close"]:
+            text = bool(held) and held[-1] == depth
+            depth -= 1
+            if text:
+                held.pop()
+            elif depth < 0:
+                return m.start()
+            elif not depth and not expression:
+                return i
+        elif m["end"] and expression and not depth and source[start : m.start()].strip():
+            return m.start()
+        while text and (t := _JS_TEMPLATE.search(source, i)):
+            i = t.end()
+            if t[0] == "${":
+                depth += 1
+                held.append(depth)
+            text = t[0][0] == "\\"
+        if text:
+            return len(source)
+    return len(source)
+
+
+def javascript_pairs(source: str) -> Iterator[tuple[str, int, str, str, str]]:
+    """name, line, signature, documentation, body of every function or method with a documentation comment right before it."""
     doc, doc_end, i = "", -1, 0
     while m := _JS.search(source, i):
         i = m.end()
@@ -179,7 +250,9 @@ def javascript_pairs(source: str) -> Iterator[tuple[str, int, str, str]]:
             if re.fullmatch(r"(?:\s|export\b|default\b|static\b|async\b|@[\w.]+(?:\([^)]*\))?)*", between):
                 text = re.sub(r"(?m)^\s*\*?[ \t]?", "", doc[3:-2]).strip()
                 signature = re.sub(r"\s+", " ", source[start:close])
-                yield m["name"] or m["arrow"] or m["method"], source.count("\n", 0, start) + 1, signature, text
+                begin = re.compile(r"\s*(?:=>\s*)?").match(source, close)
+                end = _braced(source, begin.end()) if source[begin.end() : begin.end() + 1] == "{" else _braced(source, begin.end(), True) if "=>" in begin[0] else close
+                yield m["name"] or m["arrow"] or m["method"], source.count("\n", 0, start) + 1, signature, text, source[begin.end() : end].strip() if end > close else ""
             doc_end, i = -1, close
 
 
@@ -189,11 +262,11 @@ READERS = {"py": python_pairs, "pyi": python_pairs, "js": javascript_pairs, "mjs
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(f, *p) for f, e, text in zip(b["file_id"], b["ext"], b["content"], strict=True) for p in READERS[e](text) if says_something(p[3], *read_signature(p[2]))]
-        yield pd.DataFrame(rows, columns=["file_id", "name", "line", "signature", "docstring"])
+        yield pd.DataFrame(rows, columns=["file_id", "name", "line", "signature", "docstring", "body"])
 
 
 def file_pairs(files: DataFrame) -> DataFrame:
-    """file_id, name, line, signature, docstring of all documented functions in the files' whole contents."""
+    """file_id, name, line, signature, docstring, body of all documented functions in the files' whole contents."""
     ext = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
     some = files.select(F.col("file_id").cast("long").alias("file_id"), ext.alias("ext"), "content").filter(F.col("ext").isin(*READERS) & (F.length("content") > 0))
-    return some.mapInPandas(_cut, "file_id long, name string, line int, signature string, docstring string").distinct()
+    return some.mapInPandas(_cut, "file_id long, name string, line int, signature string, docstring string, body string").distinct()
